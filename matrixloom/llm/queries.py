@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hamming, langid, linededup, mixing, packing, quality, secrets, sharding, superminhash
+from . import hamming, langid, linededup, mixing, packing, quality, secrets, sharding, suffix, superminhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.train(documents, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_line_dedup, op4_multi_index_hashing, op6_language_id, op7_sharding, op8_superminhash, op9_packing, op10_quality)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_line_dedup, op4_multi_index_hashing, op5_suffix_array, op6_language_id, op7_sharding, op8_superminhash, op9_packing, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.SQL, "op7_sharding": sharding.SQL}
