@@ -28,6 +28,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, chunks, cut, drop_cut, project, small, span_hash, word_hashes
+from .common import arrow_batches, chunks, cut, drop_cut, project, shared_folder, small, span_hash, word_hashes
 from .linededup import fold
 
 LEAST = 50
@@ -412,14 +413,32 @@ def _representatives(least: int, gram: int):
                 off = np.searchsorted(d, np.arange(n + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(off), pa.array(x)) for x in (a.astype(np.int32), z.astype(np.int32), h.view(np.int64))]
                 keep = pa.array(words >= least)
-                cols = [b.column(i).slice(at, n) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in [*cols, pa.array(words.astype(np.int32)), *lists]], names=["doc_id", "k1", "k2", "words", "a", "z", "h"])
+                cols = [b.column(i).slice(at, n) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in [*cols, pa.array(words.astype(np.int32)), *lists]], names=["doc_id", "k1", "k2", "chars", "words", "a", "z", "h"])
 
     return run
 
 
-def _symbols(least: int):
-    """Symbols, hashes of runs of least words and characters of the stretches of each document."""
+def _cut_by_kind(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of kind 0 and of kind 1, written in one pass as tables of their own, of which each
+    can be deleted when it was read for the last time."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    rows.write.partitionBy("kind").parquet(path)
+    plain = rows.drop("kind").schema
+    out = []
+    for kind in (0, 1):
+        # reading a folder that no row was written to is an error
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/kind={kind}")
+        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        out.append(spark.read.schema(plain).parquet(f"{path}/kind={kind}") if there else spark.createDataFrame([], plain))
+    return out[0], out[1]
+
+
+def _symbols(least: int, block: int):
+    """Of each document the characters of its words, kind 0, and its symbols and hashes of runs
+    of least words by the block they lie in, with two symbols to the block before, kind 1."""
+    schema = pa.schema([("kind", pa.int32()), ("base", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), *((c, pa.binary()) for c in ("data", "grams", "lo", "hi"))])
 
     def run(batches: Blobs) -> Blobs:
         for b in batches:
@@ -429,11 +448,11 @@ def _symbols(least: int):
                 w, s, e, doc = word_hashes(fold(data), offsets)
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
                 first = np.searchsorted(doc, np.arange(end - at))
-                out: list[list] = [[], [], [], [], []]
+                rows: list[tuple] = []
                 for r in range(end - at):
                     zero = chars[offsets[r]]
                     sym, gram, lo, hi = [], [], [], []
-                    pos = base[at + r]
+                    here = pos = base[at + r]
                     for x in stretches[at + r]:
                         i, j = first[r] + x["a"], first[r] + x["z"]
                         m = int(j - i)
@@ -445,25 +464,13 @@ def _symbols(least: int):
                         lo += [chars[s[i:j]] - zero, [0]]
                         hi += [chars[e[i:j]] - zero, [0]]
                         pos += m + 1
-                    for col, v in zip(out, (base[at + r], np.concatenate(sym).tobytes(), np.concatenate(gram).tobytes(), np.concatenate(lo).astype(np.int32).tobytes(), np.concatenate(hi).astype(np.int32).tobytes()), strict=True):
-                        col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["base", "sym", "gram", "lo", "hi"])
-
-    return run
-
-
-def _blocks(block: int):
-    """Stretches sent to the blocks they lie in, with two symbols to the block before."""
-
-    def run(batches: Blobs) -> Blobs:
-        for b in batches:
-            for base, sym, gram in zip(b.column("base").to_pylist(), b.column("sym").to_pylist(), b.column("gram").to_pylist(), strict=True):
-                s, g = np.frombuffer(sym, _U), np.frombuffer(gram, _U)
-                first, last = max(0, (base - 2) // block), (base + len(s) - 1) // block
-                for k in range(first, last + 1):
-                    lo, hi = max(base, k * block), min(base + len(s), (k + 1) * block + 2)
-                    if lo < hi:
-                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([lo], pa.int64()), pa.array([s[lo - base : hi - base].tobytes()], pa.binary()), pa.array([g[lo - base : hi - base].tobytes()], pa.binary())], names=["key", "at", "data", "grams"])
+                    rows.append((0, here, None, None, None, None, np.concatenate(lo).astype(np.int32).tobytes(), np.concatenate(hi).astype(np.int32).tobytes()))
+                    v, g = np.concatenate(sym), np.concatenate(gram)
+                    for k in range(max(0, (here - 2) // block), (here + len(v) - 1) // block + 1):
+                        low, high = max(here, k * block), min(here + len(v), (k + 1) * block + 2)
+                        if low < high:
+                            rows.append((1, here, k, low, v[low - here : high - here].tobytes(), g[low - here : high - here].tobytes(), None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -533,8 +540,8 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, blo
     arrow_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = project(docs, "doc_id", "text").where("text is not null")
-    d = d.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(7)).alias("k2"), "text")
-    each = cut(d.mapInArrow(_representatives(least, gram), "doc_id bigint, k1 bigint, k2 bigint, words int, a array<int>, z array<int>, h array<bigint>"))
+    d = d.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(7)).alias("k2"), F.length("text").cast("bigint").alias("chars"), "text")
+    each = cut(d.mapInArrow(_representatives(least, gram), "doc_id bigint, k1 bigint, k2 bigint, chars bigint, words int, a array<int>, z array<int>, h array<bigint>"))
 
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id")).alias("low")
     texts = cut(each.groupBy("k1", "k2").agg(lowest, F.first("a").alias("a"), F.first("z").alias("z"), F.first("h").alias("h")))
@@ -549,12 +556,11 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, blo
     marks = kept.groupBy("k1", "k2").agg(F.first("low").alias("low"), stretch.alias("stretches"))
     size = F.expr("cast(aggregate(stretches, 0, (n, x) -> n + x.z - x.a + 1) as bigint)")
     marks = cut(marks.select("low.nul", "low.doc_id", "k1", "k2", "stretches", size.alias("size")))
-    _release(spark)
+    # of equal texts all but the first are reported whole
+    copies = each.join(texts.select("k1", "k2", "low"), ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("low.doc_id")))
+    whole = cut(copies.select("doc_id", F.lit(0).cast("bigint").alias("start_char"), F.col("chars").alias("end_char"), F.col("low.doc_id").alias("like_doc_id"), "k1", "k2").distinct()).drop("k1", "k2")
+    _release(spark, each, texts)
     n = marks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    copies = each.join(texts.select("k1", "k2", "low"), ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("low.doc_id"))).select("doc_id", "k1", "k2", F.col("low.doc_id").alias("like_doc_id")).distinct()
-    lengths = d.select("k1", "k2", F.length("text").alias("chars"))
-    whole = copies.join(lengths, ["k1", "k2"]).groupBy("doc_id", "k1", "k2").agg(F.first("chars").alias("chars"), F.first("like_doc_id").alias("like_doc_id"))
-    whole = whole.select("doc_id", F.lit(0).cast("bigint").alias("start_char"), F.col("chars").cast("bigint").alias("end_char"), "like_doc_id")
     if not n:
         return whole
 
@@ -567,11 +573,13 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, blo
     placed = placed.withColumn("base", F.coalesce(F.sum("size").over(running), F.lit(0))).join(small(cut(parts)), "part")
     placed = cut(placed.select("doc_id", "k1", "k2", "size", "stretches", (F.col("base") + F.col("before")).alias("base")))
 
+    # the join leaves rows that repeat id and text side by side
     once = d.select("k1", "k2", "doc_id", "text").join(placed.select("k1", "k2", F.col("doc_id").alias("owner"), "stretches", "base"), ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("owner")))
-    symbols = cut(once.select("base", "stretches", "text").mapInArrow(_symbols(least), "base bigint, sym binary, gram binary, lo binary, hi binary").dropDuplicates(["base"]))
+    once = once.dropDuplicates(["k1", "k2"])
+    symbols, pieces = _cut_by_kind(once.select("base", "stretches", "text").mapInArrow(_symbols(least, block), "kind int, base bigint, key bigint, at bigint, data binary, grams binary, lo binary, hi binary"))
     _release(spark, marks)
-    string = _by_key(symbols.select("base", "sym", "gram").mapInArrow(_blocks(block), "key bigint, at bigint, data binary, grams binary"), tasks, _assemble(n, block), "key bigint, data binary, grams binary")
-    string = cut(string)
+    string = cut(_by_key(pieces.select("key", "at", "data", "grams"), tasks, _assemble(n, block), "key bigint, data binary, grams binary"))
+    _release(spark, pieces)
     gone = order(string, n, block, local, tasks, _runs(block))
     _release(spark, string)
     spans = _by_key(gone, tasks, _spans(least), "start bigint, stop bigint, like bigint")
