@@ -9,6 +9,7 @@ object per word.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -24,7 +25,7 @@ from pyspark.sql.window import Window
 
 #: A side is broadcast only after it was counted and has no more rows than this.
 BROADCAST_ROWS = 100_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint", "quality": "int", "toxic": "int", "vec_id": "bigint", "embedding": "array<float>"}
 
@@ -145,6 +146,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[:33] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE2 = np.uint64(0xD6E8FEB86659FD93 | 1)
+#: malloc_trim where the C library has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -184,6 +187,13 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np
     return mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which a worker that waits for its next task would keep."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole documents of about limit bytes: (first, last, bytes, offsets). A longer
     document is a run of its own; null is as empty."""
@@ -202,6 +212,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

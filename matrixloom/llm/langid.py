@@ -41,6 +41,8 @@ HELD_OUT = 100
 #: A context is kept if it was seen so often in any language.
 LEAST_SEEN = 8
 DEVIATIONS = 6.0
+#: Contexts whose costs are worked out at a time.
+FIT_ROWS = 4096
 SEED = "langid-1"
 
 
@@ -95,6 +97,28 @@ def _counts(texts: dict[str, list[bytes]], order: int, symbol: np.ndarray, k: in
     return contexts, counts
 
 
+def _bits(counts: np.ndarray, parent: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Cost of each symbol in each of the contexts of one language."""
+    bits = np.zeros((len(contexts), counts.shape[1]))
+    done = np.zeros(bits.shape, bool)  # symbols coded already
+    out = np.zeros(bits.shape, bool)  # symbols excluded by a longer context
+    at = contexts
+    while (at >= 0).any():
+        here = np.where((at >= 0)[:, None], counts[np.maximum(at, 0)], 0).astype(np.float64) * ~out
+        total, distinct = here.sum(1), (here > 0).sum(1)
+        known = distinct > 0
+        denominator = np.where(known, total + distinct, 1)[:, None]
+        hit = (here > 0) & ~done
+        bits += np.where(hit, -np.log2(np.where(hit, here, 1) / denominator), 0)
+        done |= hit
+        bits += np.where(~done & known[:, None], -np.log2(np.where(known, distinct, 1) / np.where(known, total + distinct, 1))[:, None], 0)
+        out |= here > 0
+        at = np.where(at >= 0, parent[np.maximum(at, 0)], -1)
+    # order -1: uniform over the bytes not excluded
+    left = 256 - out.sum(1)
+    return bits + np.where(~done, np.log2(np.maximum(left, 1))[:, None], 0)
+
+
 def fit(texts: dict[str, list[bytes]], held_out: dict[str, list[bytes]], order: int = ORDER) -> Model:
     """Trees of the languages, and the limit from the texts held out."""
     names = sorted(texts)
@@ -114,26 +138,9 @@ def fit(texts: dict[str, list[bytes]], held_out: dict[str, list[bytes]], order:
             step[i, s] = index[longer]
     log = np.zeros(counts.shape, np.float32)
     for i in range(len(names)):
-        one = counts[:, :, i].astype(np.float64)
-        bits = np.zeros_like(one)
-        done = np.zeros(one.shape, bool)  # symbols coded already
-        out = np.zeros(one.shape, bool)  # symbols excluded by a longer context
-        at = np.arange(len(contexts))
-        while (at >= 0).any():
-            here = np.where((at >= 0)[:, None], one[np.maximum(at, 0)], 0) * ~out
-            total, distinct = here.sum(1), (here > 0).sum(1)
-            known = distinct > 0
-            denominator = np.where(known, total + distinct, 1)[:, None]
-            hit = (here > 0) & ~done
-            bits += np.where(hit, -np.log2(np.where(hit, here, 1) / denominator), 0)
-            done |= hit
-            bits += np.where(~done & known[:, None], -np.log2(np.where(known, distinct, 1) / np.where(known, total + distinct, 1))[:, None], 0)
-            out |= here > 0
-            at = np.where(at >= 0, parent[np.maximum(at, 0)], -1)
-        # order -1: uniform over the bytes not excluded
-        left = 256 - out.sum(1)
-        bits += np.where(~done, np.log2(np.maximum(left, 1))[:, None], 0)
-        log[:, :, i] = bits
+        for first in range(0, len(contexts), FIT_ROWS):
+            log[first : first + FIT_ROWS, :, i] = _bits(counts[:, :, i], parent, np.arange(first, min(first + FIT_ROWS, len(contexts))))
+    del counts
     model = Model(names, symbol, step, log, order, np.inf)
     costs = []
     for name in names:
@@ -150,13 +157,14 @@ def score(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((n_docs, len(model.languages)))
     if not n:
         return out
-    s = model.symbol[data].astype(np.int64)
+    kind = np.int32 if model.step.size < 1 << 31 else np.int64
+    s = model.symbol[data].astype(kind)
     k = model.step.shape[1]
     flat = model.step.ravel()
     full = np.flatnonzero(np.diff(offsets) > 0)
     begin = offsets[:-1][full]
     # state[i]: context before byte i, out of the bytes of its own document
-    state = np.zeros(n, np.int64)
+    state = np.zeros(n, kind)
     for _ in range(model.order):
         after = flat[state * k + s]
         state[1:] = after[:-1]
