@@ -155,7 +155,8 @@ def _probe(coded: DataFrame, parts: list[tuple[int, int, int]], radius: int) ->
             continue
         one = coded.select(F.lit(j).alias("j"), value(shift, width).alias("key"), F.col("row").alias("other"), F.col("code").alias("code2"))
         masks = F.array(*[F.lit(m).cast("bigint") for m in ball(width, r)])
-        ask = coded.select(F.lit(j).alias("j"), F.explode(F.transform(masks, lambda x, s=shift, w=width: value(s, w).bitwiseXOR(x))).alias("key"), "row", "code")
+        ask = coded.select(F.lit(j).alias("j"), F.explode(masks).alias("mask"), value(shift, width).alias("key"), "row", "code")
+        ask = ask.select("j", F.col("key").bitwiseXOR(F.col("mask")).alias("key"), "row", "code")
         index = one if index is None else index.union(one)
         probes = ask if probes is None else probes.union(ask)
     near = F.bit_count(F.col("code").bitwiseXOR(F.col("code2"))) <= radius
@@ -177,17 +178,17 @@ def _compare(radius: int, k: int, dims: int):
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            x2 = np.frombuffer(b"".join(right["vec"]), np.float32).reshape(-1, dims)
+            x2 = np.frombuffer(b"".join(right["vec"]), np.float32).reshape(-1, dims).astype(np.float64)
             c2, r2 = right["code"].to_numpy(np.int64).view(np.uint64), right["row"].to_numpy()
             known = right["vec_id"].notna().to_numpy()
             ids = right["vec_id"].fillna(0).to_numpy(np.int64)
-            x1 = np.frombuffer(b"".join(left["vec"]), np.float32).reshape(-1, dims)
+            x1 = np.frombuffer(b"".join(left["vec"]), np.float32).reshape(-1, dims).astype(np.float64)
             c1, r1 = left["code"].to_numpy(np.int64).view(np.uint64), left["row"].to_numpy()
             step = 256
             for s in range(0, len(left), step):
                 hit = np.bitwise_count(c1[s : s + step, None] ^ c2) <= radius
                 hit &= r1[s : s + step, None] != r2
-                sims = np.where(hit, np.round((x1[s : s + step] @ x2.T).astype(np.float64), 6), -np.inf)
+                sims = np.where(hit, np.round(x1[s : s + step] @ x2.T, 6), -np.inf)
                 if sims.shape[1] > 4 * k:  # those that can be among the k best, ties included
                     edge = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
                     hit &= sims >= edge[:, None]
@@ -243,8 +244,8 @@ def neighbours(vectors: DataFrame, k: int = K, target: float = TARGET, block: in
 
         def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                a, c = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.float32).reshape(-1, dims) for n in ("v1", "v2"))
-                sim = np.round((a * c).sum(1).astype(np.float64), 6)
+                a, c = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.float32).reshape(-1, dims).astype(np.float64) for n in ("v1", "v2"))
+                sim = np.round((a * c).sum(1), 6)
                 yield pa.RecordBatch.from_arrays([b.column("row"), b.column("other"), b.column("other_id"), pa.array(sim)], names=["row", "other", "other_id", "sim"])
 
         found = joined.mapInArrow(cosine, "row bigint, other bigint, other_id bigint, sim double")
