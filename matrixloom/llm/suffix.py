@@ -4,7 +4,7 @@ Sanders 2003).
 The corpus is one string of word hashes. Level by level the suffixes that start at places 1 and 2
 modulo 3 are named by the rank of their first three symbols (a range sort over the cluster), the
 string of names is ordered by recursion, and the remaining suffixes are merged in by comparing
-at most two symbols and a rank. A string of at most LOCAL symbols is ordered in one task. In the
+at most two symbols and a rank. A string of one block is ordered in one task. In the
 finished order, neighbours whose first LEAST words agree form a run; its earliest place stays
 and the others are reported as removable.
 
@@ -43,7 +43,7 @@ from .linededup import fold
 LEAST = 50
 GRAM = 12
 BLOCK = 1 << 19
-LOCAL = 5_000_000
+LOCAL = BLOCK
 #: Symbols in a slice of a sort.
 SLICE = 1 << 19
 SAMPLE = 40_000
