@@ -1,6 +1,6 @@
 """Every registered query of the matrix against its DuckDB statement.
 
-At sf0.01, as the statements of hash_split_by_trace and assignment_digest leave out the repair of
+At sf0.01: the statements of hash_split_by_trace and assignment_digest seem to lack the repair of
 parts with too few traces, which the 15 traces of sf0.001 need.
 """
 
