@@ -11,8 +11,13 @@ are the contexts of any language, with the exact cost of every byte in every sta
 advance. The state after i bytes is found in ORDER steps, each a gather over the whole batch.
 
 A text is rejected if it has no bytes or if even the shortest code spends more bits a byte than
-`limit`, which is set from held-out rows of the sample: their mean plus DEVIATIONS standard
-deviations, as texts of no known language cost far more.
+the limit of its language, as texts of no known language cost far more. A quarter of each
+language's sample is held out for it, one document at least where there are two: the limit is
+their lower quartile plus DEVIATIONS times their spread about it, which lies within SPREAD. A
+held-out text that is FAR from the quartile counts as FAR, so that junk under a label, short of
+three quarters, doesn't lift the limit above itself. A language with fewer than FEW held-out
+texts takes quartile and spread of all if they are greater, one with none the widest limit; only
+where no language has two labelled texts there is no limit.
 
 Cases: null and empty texts have no language and are rejected. A null id is carried. Rows without
 a label are no training rows, but are scored; repeated rows get equal results. With no labelled
@@ -34,13 +39,18 @@ from pyspark.sql.window import Window
 from .common import arrow_batches, chunks, hash52, position, project, with_columns_apart
 
 ORDER = 4
-#: Training and held-out documents for each language: the bound on the sample that the trees are
-#: fitted on; scoring has none.
+#: Training and held-out documents for each language at most, and in this proportion where there
+#: are fewer: the bound on the sample that the trees are fitted on; scoring has none.
 TRAIN_DOCS = 300
 HELD_OUT = 100
 #: A context is kept if it was seen so often in any language.
 LEAST_SEEN = 8
 DEVIATIONS = 6.0
+#: Bits a byte beyond which a held-out text counts as no farther from the quartile.
+FAR = 1.0
+SPREAD = 0.1, 0.5
+#: Held-out texts with which a language's own spread is relied on.
+FEW = 8
 #: Contexts whose costs are worked out at a time.
 FIT_ROWS = 4096
 SEED = "langid-1"
@@ -56,7 +66,13 @@ class Model:
     #: (states, symbols, languages) -> bits
     bits: np.ndarray
     order: int
-    limit: float
+    #: Bits a byte that a text of each language may cost.
+    limits: np.ndarray
+
+    @property
+    def limit(self) -> float:
+        """The widest."""
+        return float(self.limits.max()) if self.languages else np.inf
 
 
 def _counts(texts: dict[str, list[bytes]], order: int, symbol: np.ndarray, k: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
@@ -141,16 +157,30 @@ def fit(texts: dict[str, list[bytes]], held_out: dict[str, list[bytes]], order:
         for first in range(0, len(contexts), FIT_ROWS):
             log[first : first + FIT_ROWS, :, i] = _bits(counts[:, :, i], parent, np.arange(first, min(first + FIT_ROWS, len(contexts))))
     del counts
-    model = Model(names, symbol, step, log, order, np.inf)
-    costs = []
-    for name in names:
-        for t in held_out.get(name, []):
-            if t:
-                costs.append(score_one(model, t).min() / len(t))
-    model.limit = float(np.mean(costs) + DEVIATIONS * max(np.std(costs), 0.1)) if costs else np.inf
+    model = Model(names, symbol, step, log, order, np.full(len(names), np.inf))
+    model.limits = _limits([np.array([score_one(model, t).min() / len(t) for t in held_out.get(n, []) if t]) for n in names])
     return model
 
 
+def _limits(costs: list[np.ndarray]) -> np.ndarray:
+    """The limit of each language from the bits a byte of its held-out texts."""
+    known = [c for c in costs if len(c)]
+    if not known:
+        return np.full(len(costs), np.inf)
+    quartile = lambda c: float(np.quantile(c, 0.25))
+    off = lambda c: np.minimum(np.abs(c - quartile(c)), FAR)
+    size = lambda x: float(np.sqrt(np.mean(x**2)))
+    all_at, all_far = quartile(np.concatenate(known)), size(np.concatenate([off(c) for c in known]))
+    out = np.full(len(costs), -np.inf)
+    for i, c in enumerate(costs):
+        if len(c):
+            at, far = quartile(c), size(off(c))
+            if len(c) < FEW:
+                at, far = max(at, all_at), max(far, all_far)
+            out[i] = at + DEVIATIONS * min(max(far, SPREAD[0]), SPREAD[1])
+    return np.where(np.isinf(out), out.max(), out)
+
+
 def score(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Code length in bits of each document under each language."""
     n_docs, n = len(offsets) - 1, len(data)
@@ -179,21 +209,26 @@ def score_one(model: Model, text: bytes) -> np.ndarray:
 
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, held_out: int = HELD_OUT) -> Model:
-    """Fit on the train_docs + held_out labelled documents of each language with lowest hash."""
+    """Fit on the train_docs + held_out labelled documents of each language with lowest hash; of
+    fewer, the same share is held out. Equal texts count once, lest a copy is held out."""
     d = project(docs, "doc_id", "lang", "text")
     draw = hash52(F.lit(SEED), F.col("doc_id"))
     some = d.where("lang is not null and doc_id is not null").select("lang", "doc_id", draw.alias("draw"))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    picked = {r.doc_id: r.nth for r in some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= train_docs + held_out).select("doc_id", "nth").collect()}
+    picked = {(r.lang, r.doc_id): r.nth for r in some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= train_docs + held_out).select("lang", "doc_id", "nth").collect()}
     if not picked:
         return fit({}, {})
-    wanted = F.broadcast(d.sparkSession.createDataFrame([(k,) for k in picked], "doc_id bigint"))
-    rows = d.join(wanted, "doc_id").where("text is not null and lang is not null").select("doc_id", "lang", F.encode("text", "utf-8").alias("body")).collect()
+    wanted = F.broadcast(d.sparkSession.createDataFrame([(k,) for k in {i for _, i in picked}], "doc_id bigint"))
+    rows = d.join(wanted, "doc_id").where("text <> '' and lang is not null").select("doc_id", "lang", F.encode("text", "utf-8").alias("body")).collect()
+    drawn: dict[str, dict[bytes, None]] = {}
+    for _, lang, body in sorted((picked[r.lang, r.doc_id], r.lang, bytes(r.body)) for r in rows if (r.lang, r.doc_id) in picked):
+        drawn.setdefault(lang, {})[body] = None
     texts: dict[str, list[bytes]] = {}
     apart: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, bytes(r.body))):
-        (texts if picked[r.doc_id] <= train_docs else apart).setdefault(r.lang, []).append(bytes(r.body))
-    texts = {k: v for k, v in texts.items() if any(v)}
+    for lang, bodies in drawn.items():
+        n = len(bodies)
+        first = n - max(n * held_out // (train_docs + held_out), int(held_out > 0 and n > 1))
+        texts[lang], apart[lang] = list(bodies)[:first], list(bodies)[first:]
     return fit(texts, apart)
 
 
@@ -225,7 +260,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 void = (size == 0) | (not m.languages)
                 best = np.where(void, len(m.languages), best)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, last - first), pa.array(names[best], pa.string()), pa.array(np.round(low, 6), mask=void), pa.array(np.round(margin, 6), mask=void), pa.array(~void & (low <= m.limit))],
+                    [b.column(0).slice(first, last - first), pa.array(names[best], pa.string()), pa.array(np.round(low, 6), mask=void), pa.array(np.round(margin, 6), mask=void), pa.array(~void & (low <= np.append(m.limits, -np.inf)[best]))],
                     names=["doc_id", "language", "bits_per_byte", "margin", "accepted"],
                 )
 
@@ -249,7 +284,8 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
             if m.languages:
                 for first, last, data, offsets in chunks(b.column(at)):
                     size = np.diff(offsets)
-                    keep[first:last] = (size > 0) & (score(m, data, offsets).min(1) <= m.limit * size)
+                    bits = score(m, data, offsets)
+                    keep[first:last] = (size > 0) & (bits.min(1) / np.maximum(size, 1) <= m.limits[bits.argmin(1)])
             yield b.filter(pa.array(keep))
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)

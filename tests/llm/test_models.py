@@ -98,6 +98,24 @@ def test_held_out_accuracy_and_rejection(spark, spoken):
     assert {r.doc_id for r in langid.keep_identified(df, m).collect()} == {r[0] for r in fresh}
 
 
+@pytest.mark.parametrize("each", [2, 8, 40])
+def test_small_tables_reject_too(spark, each):
+    rng = random.Random(8)
+    rows = [(i, speech(rng, lang, rng.randrange(20, 80)), lang, "s", 1) for i, lang in enumerate(list(WORDS) * each)]
+    rows += [(1000 + i, "".join(rng.choice("qxzjkvw0123456789@#~^") for _ in range(200)), None, "s", 1) for i in range(9)]
+    rows += [(2000, "".join(map(chr, range(33, 127))) * 2, "xx", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    m = langid.train(df)
+    assert np.isfinite(m.limits).all() and len(m.limits) == 4
+    assert {r.doc_id for r in langid.keep_identified(df, m).collect()} - {2000} == set(range(3 * each))
+
+
+def test_each_language_has_its_limit():
+    limits = langid._limits([np.full(20, 2.0), np.array([4.0] * 18 + [9.0] * 2), np.zeros(0)])
+    assert limits[0] == pytest.approx(2.6) and 4.6 < limits[1] < 9 and limits[2] == limits[1]
+    assert np.isinf(langid._limits([np.zeros(0)])).all()
+
+
 def test_awkward_languages(spark, odd, clashing, none):
     for df in (odd, clashing):
         got = langid.identify(df).collect()

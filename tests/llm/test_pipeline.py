@@ -54,6 +54,11 @@ def test_against_brute_force(spark, tmp_path):
     assert max(load.values()) <= 8192
 
 
+def test_junk_goes(spark):
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, spark.createDataFrame(corpus(), DOCS), "").collect()}
+    assert not kept & {300, 301, 302, 303} and set(range(60)) <= kept
+
+
 def test_stages_keep_the_columns(spark, odd, none):
     for df in (odd, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:
