@@ -5,7 +5,8 @@ mark, so that passages are found wherever in a line they begin. Units are normal
 Latin-1 letters lower-cased, space collapsed), hashed to 128 bits and grouped over the whole
 corpus. The occurrence of lowest document id and lowest place stays, the rest are cut from their
 texts together with the space up to the next unit; the offsets that were cut refer to the
-original text, in characters. Units of fewer than LEAST_WORDS words always stay.
+original text, in characters. Units of fewer than `least` words always stay: LEAST_WORDS unless
+set, 1 in op3_line_dedup, where every unit counts.
 
 Repeats within a batch are marked before the shuffle, so a unit that fills the corpus sends one
 row a batch. Grouping streams through a rank: no group is held in memory.

@@ -24,7 +24,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.remove_repeats(_table(spark, sf_dir, "documents"))
+    """Units of any length, a line or sentence of one word too."""
+    return linededup.remove_repeats(_table(spark, sf_dir, "documents"), 1)
 
 
 def op4_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

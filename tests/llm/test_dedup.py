@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from matrixloom.llm import linededup, superminhash
+from matrixloom.llm import linededup, queries, superminhash
 from tests.llm.conftest import DOCS, awkward, prose
 
 
@@ -57,6 +57,15 @@ def test_lines_against_brute_force(spark, request, which):
     assert all(r.n_removed == len(r.removed) for r in got)
 
 
+def test_query_removes_short_lines_and_sentences(spark, tmp_path):
+    texts = ["Ietzte.\nAll rights reserved.\nA line that is longer than five words.", "New one here. All rights reserved. Another.\nIetzte.", "ietzte.\nIetzte.", "x", "x", "Stteen Erachtz.\n\nIetzte."]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {k[0]: v for k, v in brute_lines(rows, 1).items()}
+    assert got[1][0] == "New one here. Another.\n" and got[2][0] == got[4][0] == ""
+
+
 def test_no_lines(spark, none):
     assert linededup.remove_repeats(none).count() == 0
 
