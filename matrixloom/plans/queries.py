@@ -435,10 +435,23 @@ def cluster_bootstrap_hash_ci(spark, sf_dir):
     return _rounded(stats.bootstrap_clusters_hashed(observations(spark, sf_dir), ["model"], "trace_id", "quality", 42, 200), "low", "high")
 
 
+@query()
+def bootstrap_hash_full_ci(spark, sf_dir):
+    """Every task and model with 1,000 replicates; bootstrap_hash_ci is the part of it that DuckDB
+    repeats. Tests compare with plain Python."""
+    return _rounded(stats.bootstrap_hashed_blocks(observations(spark, sf_dir), ["task", "model"], "prompt_id", "quality", 42), "low", "high")
+
+
+@query()
+def cluster_bootstrap_hash_full_ci(spark, sf_dir):
+    """cluster_bootstrap_hash_ci with 1,000 replicates."""
+    return _rounded(stats.bootstrap_hashed_blocks(observations(spark, sf_dir), ["model"], "trace_id", "quality", 42), "low", "high")
+
+
 @query()
 def bootstrap_mt_ci(spark, sf_dir):
     """Mersenne draws are beyond SQL; tests compare with plain Python."""
-    return stats.bootstrap_mersenne(observations(spark, sf_dir), ["model"], ["trace_id", "sequence_index"], "quality", F.lit(42), "trace_id", 200)
+    return stats.bootstrap_mersenne(observations(spark, sf_dir), ["model"], ["trace_id", "sequence_index"], "quality", F.lit(42), "trace_id")
 
 
 @query()
@@ -700,6 +713,6 @@ def demo_preview(spark, sf_dir):
 def audit_compare(spark, sf_dir):
     """The whole audit of the matrix, as one row for each strategy; intervals are drawn by the
     Mersenne twister, which SQL lacks."""
-    doc = audit(observations(spark, sf_dir), objective="cost", max_quality_loss=0.05, resamples=200).document
+    doc = audit(observations(spark, sf_dir), objective="cost", max_quality_loss=0.05).document
     rows = [(b["name"], b["quality"], b["quality_loss"], b["cost_usd"], b["latency_ms"], b["coverage"], b["routing_regret"], b["switch_count"], b["confidence_intervals"]["quality_loss"]["high"]) for b in doc["baselines"]]
     return spark.createDataFrame(rows, "baseline string, quality double, quality_loss double, cost_usd double, latency_ms double, coverage double, routing_regret double, switch_count bigint, quality_loss_high double")
