@@ -3,13 +3,14 @@
 Candidates are runs of base64 or hex characters, found by array operations over the bytes of a
 batch. A candidate is reported only once its structure was parsed:
 
-- private_key: DER inside base64, hex or PEM armour whose nested lengths fill it exactly and
+- private_key: DER inside base64, hex (in one run or wrapped over lines) or PEM armour whose nested lengths fill it exactly and
   whose fields are those of PKCS#1, PKCS#8, encrypted PKCS#8 or SEC1; or an OpenSSH key with its
   magic and length-prefixed strings;
 - jwt: a signed token whose header decodes to JSON with an "alg" and whose payload is JSON;
 - aws_key_id: AKIA or ASIA and 16 upper-case letters and digits;
 - hex_secret, base64_secret: assigned to a name such as token, secret, password or api_key,
-  decoding to at least 8 bytes that are not a text of few distinct values.
+  decoding to at least 8 bytes that are not a text of few distinct values; base64 with letters
+  of both cases, so that a long mixed-case identifier assigned to such a name is reported too.
 
 Digests, public keys and identifiers outside an assignment are not reported.
 
@@ -24,6 +25,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +41,17 @@ _RUN = np.zeros(256, bool)
 _RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_ASSIGN = np.zeros(256, bool)
+_ASSIGN[list(b":=>")] = True
 _HEX = re.compile(rb"[0-9a-fA-F]+\Z")
 _AWS = re.compile(rb"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _NAME = re.compile(rb"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)[\w.-]{0,32}[\"']?\s{0,4}(?:[:=]|:=|=>)\s{0,4}[\"']?\Z")
 _PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\nr:,.-]*?)-----END \1-----")
 
+_LINE = re.compile(rb"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*([A-Za-z0-9+/_-]+)")
+_OPENSSH_HEADS = b"b3BlbnNzaC1rZXktdjEA", b"openssh-key-v1\0".hex().encode()
+
 
 def _tlv(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the contents of the DER element at at, if it fits before end."""
@@ -153,12 +160,56 @@ def confirm(doc: bytes, start: int, end: int) -> tuple[str, int, int, int] | Non
         return None
     if is_private_der(raw) or is_openssh_private(raw):
         return "private_key", start, pad, len(raw)
-    mixed = re.search(rb"[a-z]", run) and re.search(rb"[A-Z]", run) and re.search(rb"[0-9]", run)
+    mixed = re.search(rb"[a-z]", run) and re.search(rb"[A-Z]", run)
     if mixed and _varied(raw) and _NAME.search(doc, max(0, start - 64), start):
         return "base64_secret", start, pad, len(raw)
     return None
 
 
+def _digits(head: bytes) -> tuple[int, bool] | None:
+    """Base64 or hex digits of the private key whose DER begins with head, and whether hex."""
+    for is_hex in (True, False):
+        if head[:2] == b"30" if is_hex else head[:1] == b"M":
+            try:
+                raw = binascii.unhexlify(head[:16]) if is_hex else _b64(head[:16])
+            except (binascii.Error, ValueError):
+                raw = None
+            if raw and raw[0] == 0x30 and (t := _tlv(raw, 0, 1 << 40)) and t[1] < len(raw) and raw[t[1]] in (2, 0x30):
+                return (2 * t[2] if is_hex else -(-t[2] * 4 // 3)), is_hex
+    return None
+
+
+def wrapped(doc: bytes, start: int, end: int) -> tuple[str, int, int, int] | None:
+    """The private key without armour whose first line is doc[start:end]. DER says how long it is;
+    an OpenSSH key goes on until a line is shorter than its first, or another ends the block."""
+    if not (m := _LINE.match(doc, end)):
+        return None
+    head, width = doc[start : start + 32], end - start
+    need = _digits(head)
+    openssh = next((i for i, x in enumerate(_OPENSSH_HEADS) if head[:20].lower() == x[:20] or head.startswith(x)), None)
+    if need is None and openssh is None or need and need[0] > len(doc) - start:
+        return None
+    is_hex = need[1] if need else openssh == 1
+    lines, total, stop = [doc[start:end]], width, end
+    while m and (total < need[0] if need else len(lines[-1]) == width and len(m.group(1)) <= width):
+        lines.append(m.group(1))
+        total, stop = total + len(m.group(1)), m.end()
+        m = None if doc[stop : stop + 1] == b"=" else _LINE.match(doc, stop)
+    if need and total != need[0]:
+        return None
+    # the last short line may be a word after the key
+    for last in (len(lines), len(lines) - 1) if not need else (len(lines),):
+        text = b"".join(lines[:last])
+        raw = (binascii.unhexlify(text) if len(text) % 2 == 0 and _HEX.match(text) else None) if is_hex else _b64(text)
+        if last > 1 and raw and (is_private_der(raw) or is_openssh_private(raw)):
+            if last < len(lines):
+                stop = doc.rindex(lines[-2], start, stop - len(lines[-1])) + len(lines[-2])
+            while not is_hex and doc[stop : stop + 1] == b"=":
+                stop += 1
+            return "private_key", start, stop, len(raw)
+    return None
+
+
 def find(doc: bytes, spans: list[tuple[int, int]]) -> list[tuple[str, int, int, int]]:
     """Confirmed findings in a document, byte offsets, in order and without overlap."""
     out = []
@@ -171,13 +222,21 @@ def find(doc: bytes, spans: list[tuple[int, int]]) -> list[tuple[str, int, int,
     for s, e in spans:
         if any(a <= s < b for _, a, b, _ in out[-64:]):
             continue
-        if got := confirm(doc, s, e):
+        if got := wrapped(doc, s, e) or confirm(doc, s, e):
             out.append(got)
+    if b"AKIA" in doc or b"ASIA" in doc:  # those that share a run with another finding or id
+        out.sort(key=lambda x: x[1])
+        begins, ends = [x[1] for x in out], [x[2] for x in out]
+        for m in _AWS.finditer(doc):
+            at = bisect_right(begins, m.start())
+            if (not at or ends[at - 1] <= m.start()) and (at == len(begins) or begins[at] >= m.end()):
+                out.append(("aws_key_id", m.start(), m.end(), 16))
     return sorted(out, key=lambda x: x[1])
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of LEAST or more characters with a digit, or of 40 or more: (start, end, document)."""
+    """Runs of LEAST or more characters with a digit, an AKIA or ASIA, an M in front (as of DER in
+    base64) or an assignment before them, or of 40 or more: (start, end, document)."""
     n = len(data)
     if not n:
         return (np.zeros(0, np.int64),) * 3
@@ -189,7 +248,13 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     keep = inside[starts] & (ends - starts >= LEAST)
     starts, ends = starts[keep], ends[keep]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int64)])
-    keep = (digits[ends] > digits[starts]) | (ends - starts >= 40)
+    keep = (digits[ends] > digits[starts]) | (ends - starts >= 40) | (data[starts] == 77)
+    for k in range(1, 7):  # a quote and up to four spaces are between
+        keep |= _ASSIGN[data[np.maximum(starts - k, 0)]] & (starts >= k)
+    aws = np.zeros(n + 1, np.int64)
+    if n > 3:
+        aws[4:] = np.cumsum((data[:-3] == 65) & ((data[1:-2] == 75) | (data[1:-2] == 83)) & (data[2:-1] == 73) & (data[3:] == 65))
+    keep |= aws[ends] > aws[np.minimum(starts + 3, n)]
     starts, ends = starts[keep], ends[keep]
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
