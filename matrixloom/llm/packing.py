@@ -6,7 +6,8 @@ to a new one when none has. Documents longer than a sequence are cut into full p
 
 The greedy order is sequential, so the corpus is dealt by hash into groups of about
 GROUP_PIECES pieces, which are packed independently: a group is the same mixture as the whole,
-its memory is bounded, and the tasks are as many as the data needs.
+its memory is bounded, and the tasks are as many as the data needs. The hash is of id, piece, text
+and number among equal rows, so that null or repeated ids spread over the groups too.
 
 Tokens are estimated as one per CHARS_PER_TOKEN characters, rounded up.
 
@@ -21,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, hash52, project
 
@@ -52,12 +54,13 @@ def greedy(tokens: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start_char, end_char, tokens): whole texts in pieces that fit."""
-    d = project(docs, "doc_id", "text").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars")).where("chars > 0")
+    """(doc_id, piece, start_char, end_char, tokens, digest of the text): whole texts in pieces
+    that fit."""
+    d = project(docs, "doc_id", "text").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars"), F.xxhash64("text").alias("digest")).where("chars > 0")
     step = capacity * CHARS_PER_TOKEN
     d = d.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((chars - 1) div {step} as int)"))))
     start = F.col("piece").cast("bigint") * step
-    d = d.select("doc_id", "piece", start.alias("start_char"), F.least(start + step, F.col("chars")).alias("end_char"))
+    d = d.select("doc_id", "piece", start.alias("start_char"), F.least(start + step, F.col("chars")).alias("end_char"), "digest")
     tokens = F.expr(f"cast((end_char - start_char + {CHARS_PER_TOKEN - 1}) div {CHARS_PER_TOKEN} as int)")
     return d.withColumn("tokens", tokens)
 
@@ -67,7 +70,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PI
     and cost."""
     items = cut(pieces(docs, capacity))
     groups = max(1, -(-items.count() // group_pieces))
-    items = items.withColumn("pack_group", hash52(F.lit(seed), F.col("doc_id")) % groups)
+    same = Window.partitionBy("doc_id", "piece", "digest").orderBy("tokens")
+    items = items.withColumn("copy", F.row_number().over(same))
+    items = items.withColumn("pack_group", hash52(F.lit(seed), *map(F.col, ("doc_id", "piece", "digest", "copy"))) % groups).drop("digest", "copy")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], na_position="first", kind="stable", ignore_index=True)

@@ -113,6 +113,14 @@ def test_packing_covers_every_text_once(spark, odd, clashing, none):
     assert packing.pack(none).count() == 0
 
 
+def test_null_and_repeated_ids_spread(spark):
+    rows = [(None, f"text {i}", "en", "s", 1) for i in range(200)] + [(7, "the same", "en", "s", 1)] * 200
+    got = packing.pack(spark.createDataFrame(rows, DOCS), group_pieces=40).collect()
+    for key in (None, 7):
+        sizes = Counter(r.pack_group for r in got if r.doc_id == key)
+        assert len(sizes) == 10 and max(sizes.values()) <= 60 and sum(sizes.values()) == 200
+
+
 def test_greedy_against_a_plain_loop():
     rng = np.random.default_rng(2)
     tokens = -np.sort(-rng.integers(1, 100, 300))
