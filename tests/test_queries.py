@@ -53,6 +53,13 @@ def test_agrees_with_duckdb(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__
 
-    got = __spark_entry__.entry(spark)
-    assert "is_best" in got.columns and got.count() > 0
+    got = __spark_entry__.entry(spark).collect()
+    rows = {}
+    for r in got:
+        rows.setdefault((r.scope, r.task), []).append(r)
+    tasks = {r.task for r in matrix.observations(spark, "/root/testdata/sf0.001").select("task").distinct().collect()}
+    assert set(rows) == {("global", None)} | {("task", t) for t in tasks}
+    for group in rows.values():
+        want = min(group, key=lambda r: (-r.quality, r.cost_usd, r.latency_ms, r.model)).model
+        assert {r.model for r in group} == {"m0", "m1", "m2"} and [r.model for r in group if r.is_best] == [want]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
