@@ -207,43 +207,68 @@ def exact(rows, k):
 SCHEMA = "vec_id bigint, embedding array<float>"
 
 
-@pytest.mark.parametrize("kind", ["clusters", "sphere"])
-def test_recall(spark, kind):
+def vectors(kind, n=900, dims=32):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(900, 32))
+    x = rng.normal(size=(n, dims))
     if kind == "clusters":
-        x = np.repeat(rng.normal(size=(60, 32)), 15, axis=0) + 0.15 * x
-    rows = [(i, [float(z) for z in v]) for i, v in enumerate(x.astype(np.float32))]
-    df = spark.createDataFrame(rows, SCHEMA)
-    truth = {(a, b) for a, b, _ in exact(rows, 10)}
-    both = [hamming.neighbours(df, block=200, probes=p).collect() for p in (10**9, 0)]
-    assert sorted(map(tuple, both[0])) == sorted(map(tuple, both[1]))  # the plans agree
-    got = {(r.vec_id, r.neighbour_id) for r in both[0]}
-    assert len(truth & got) / len(truth) >= 0.9
+        x = np.repeat(rng.normal(size=(n // 15, dims)), 15, axis=0) + 0.15 * x
+    return [(i, [float(z) for z in v]) for i, v in enumerate(x.astype(np.float32))]
+
+
+@pytest.mark.parametrize("kind", ["clusters", "sphere"])
+@pytest.mark.parametrize("every", [1, 10])
+def test_recall(spark, kind, every):
+    rows = vectors(kind)
+    truth = {(a, b) for a, b, _ in exact(rows, 10) if a % every == 0}
+    got = {(r.vec_id, r.neighbour_id) for r in hamming.neighbours(spark.createDataFrame(rows, SCHEMA), every=every).collect()}
+    assert all(a % every == 0 for a, _ in got) and len(truth & got) / len(truth) >= 0.9
 
 
-def test_probes_find_every_code_within_the_radius():
+@pytest.mark.parametrize("kind", ["clusters", "sphere"])
+def test_rows_and_cosines_are_those_of_a_search_over_all_codes(spark, kind, monkeypatch):
+    rows, used = vectors(kind), {}
+    real = hamming.learn_radius
+
+    def note(coded, coder, *args):
+        used.update(coder=coder, radius=real(coded, coder, *args))
+        return used["radius"]
+
+    monkeypatch.setattr(hamming, "learn_radius", note)
+    df = spark.createDataFrame(rows, SCHEMA)
+    sorted_ = [sorted(map(tuple, hamming.neighbours(df, every=3, shard_rows=n, width=w).collect())) for n, w in ((10**6, 16), (100, 16), (77, 5))]
+    assert sorted_[0] == sorted_[1] == sorted_[2]  # whatever the shards, blocks and substrings
+    x = np.array([v for _, v in rows], np.float32)
+    x = (x / np.linalg.norm(x.astype(float), axis=1)[:, None]).astype(np.float32)
+    codes, y = used["coder"].codes(x), x.astype(float)
+    want = []
+    for i in range(0, len(rows), 3):
+        near = [j for j in range(len(rows)) if j != i and np.bitwise_count(codes[i] ^ codes[j]) <= used["radius"]]
+        sims = {j: round(float(y[i] @ y[j]), 6) for j in near}
+        want += [(i, n + 1, j, sims[j]) for n, j in enumerate(sorted(near, key=lambda j: (-sims[j], j))[:10])]
+    assert [r[:2] for r in sorted_[0]] == [r[:2] for r in sorted(want)]
+    for got, w in zip(sorted_[0], sorted(want), strict=True):
+        assert got[3] == pytest.approx(w[3], abs=2e-6) and (got[2] == w[2] or abs(got[3] - w[3]) < 2e-6)
+
+
+def test_look_ups_find_every_code_within_the_radius():
     rng = np.random.default_rng(4)
-    codes = rng.integers(0, 2**63, 400).astype(np.uint64) & np.uint64(0xFFFFFF)
-    for radius in (0, 3, 7):
-        parts, asked = hamming.plan(400, 24, radius)
-        assert asked == sum(len(hamming.ball(w, r)) for _, w, r in parts if r >= 0)
-        for a in codes[:60]:
-            found = set()
-            for shift, width, r in parts:
-                if r < 0:
-                    continue
-                mask = np.uint64((1 << width) - 1)
-                near = {int(a >> np.uint64(shift) & mask) ^ m for m in hamming.ball(width, r)}
-                found |= {i for i, c in enumerate(codes) if int(c >> np.uint64(shift) & mask) in near}
-            assert {i for i, c in enumerate(codes) if np.bitwise_count(a ^ c) <= radius} <= found
+    for bits, width in ((24, 8), (24, 16), (7, 16), (64, 16)):
+        codes = rng.integers(0, 2**63, 400).astype(np.uint64) & np.uint64((1 << bits) - 1)
+        codes[200:300] = codes[:100] ^ np.uint64(5)
+        for radius in (0, 1, 3, 7, bits):
+            parts = hamming.plan(bits, radius, width)
+            assert sum(w for _, w, _ in parts) == bits
+            i, j = hamming.Index(codes, parts, radius).within(codes[:60])
+            want = np.nonzero(np.bitwise_count(codes[:60, None] ^ codes) <= radius)
+            assert i.tolist() == want[0].tolist() and j.tolist() == want[1].tolist()
 
 
 def test_awkward_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (None, [0.9, 0.1]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0])]
     for extra, more in (((), ""), ((5, "x", 3), ", row int, code string, vec int")):
         df = spark.createDataFrame([(*r, *extra) for r in rows], SCHEMA + more)
-        got = hamming.neighbours(df, k=2, target=1.0).collect()
-        assert sorted((r.vec_id is None, r.vec_id or 0, r["rank"], r.neighbour_id is None, r.neighbour_id or 0) for r in got) == [(False, 1, 1, False, 2), (False, 1, 2, False, 2), (False, 2, 1, False, 2), (False, 2, 1, False, 2), (False, 2, 2, True, 0), (False, 2, 2, True, 0), (True, 0, 1, False, 2), (True, 0, 2, False, 2)]
+        got = hamming.neighbours(df, k=2, target=1.0, every=1).collect()
+        assert sorted((r.vec_id, r["rank"], r.neighbour_id is None, r.neighbour_id or 0) for r in got) == [(1, 1, False, 2), (1, 2, False, 2), (2, 1, False, 2), (2, 1, False, 2), (2, 2, True, 0), (2, 2, True, 0)]
+        assert hamming.neighbours(df).count() == 0  # no id is divisible by 100
     for nothing in ([], [(1, None)], [(1, [0.0])], [(1, [1.0])]):
         assert hamming.neighbours(spark.createDataFrame(nothing, SCHEMA)).count() == 0
