@@ -1,56 +1,82 @@
 """Cost-balanced packing of documents into training sequences.
 
 A piece of L tokens costs L + L^2 / QUADRATIC: the linear layers and the attention within a
-document. Longest first, each piece goes to the sequence of lowest cost that still has room, and
-to a new one when none has. Documents longer than a sequence are cut into full pieces and a rest.
+document. Longest first, each piece goes to the sequence of lowest cost that still has room, ties
+to the first, and to a new one when none has. Documents longer than a sequence are cut into full
+pieces and a rest. The order is one over the whole corpus, whatever its size.
 
-The greedy order is sequential, so the corpus is dealt by hash into groups of about
-GROUP_PIECES pieces, which are packed independently: a group is the same mixture as the whole,
-its memory is bounded, and the tasks are as many as the data needs. The hash is of id, piece, text
-and number among equal rows, so that null or repeated ids spread over the groups too.
+What a piece costs depends on its tokens alone, so pieces of equal tokens are alike and so are the
+sequences that took the same pieces: the greedy pass works on counts of pieces by tokens and on
+intervals of sequences of equal cost and room. A step gives one piece to each sequence of an
+interval; there is at most one split a token count, so its work is bounded by CAPACITY and not by
+the corpus. Pieces are ranked over the cluster and meet the steps by blocks of ranks.
 
 Tokens are estimated as one per CHARS_PER_TOKEN characters, rounded up.
 
-Cases: null or empty texts have no tokens and are left out; a null id is dealt as the empty id
-and sorts first. Equal pieces go by id, then piece, then copy; a document that occurs several
-times is packed as often. An empty table gives an empty one. Other columns are ignored.
+Cases: null or empty texts have no tokens and are left out; null ids come first among pieces of
+equal tokens, then by id, piece and hash of the text; equal rows are interchangeable, and a
+document that occurs several times is packed as often. Very long texts are cut into many pieces.
+An empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator, Mapping
+from heapq import heappop, heappush
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, hash52, project
+from .common import cut, project, ranked
 
 CAPACITY = 8192
 CHARS_PER_TOKEN = 4
 QUADRATIC = 24_576.0
-GROUP_PIECES = 20_000
-SEED = "pack-1"
-SCHEMA = "pack_group bigint, seq int, doc_id bigint, piece int, start_char bigint, end_char bigint, tokens int, cost double"
-
-
-def greedy(tokens: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence of each piece, for pieces in descending order, and each piece's cost."""
-    cost = tokens + tokens.astype(float) ** 2 / QUADRATIC
-    n = max(1, -(-int(tokens.sum()) // capacity))
-    load, room = np.zeros(n), np.full(n, capacity, np.int64)
-    out = np.empty(len(tokens), np.int32)
-    used = n
-    for i, (t, c) in enumerate(zip(tokens.tolist(), cost.tolist(), strict=True)):
-        at = int(np.where(room[:used] >= t, load[:used], np.inf).argmin())
-        if room[at] < t:
-            if used == len(room):
-                load, room = np.append(load, np.zeros(used)), np.append(room, np.full(used, capacity, np.int64))
-            at, used = used, used + 1
-        load[at] += c
-        room[at] -= t
-        out[i] = at
-    return out, cost
+#: Ranks in a block in which pieces meet the steps of the greedy pass.
+BLOCK = 1 << 16
+
+
+def greedy(counts: Mapping[int, int], capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, int]]:
+    """Steps (start, n, seq, each): of the pieces in order of falling tokens, piece start + i, for
+    i below n, goes to sequence seq + i // each. counts: pieces by tokens."""
+    free = max(1, -(-sum(t * n for t, n in counts.items()) // capacity))
+    ready: list[tuple[float, int, int, int]] = [(0.0, 0, free, capacity)]  # cost, first, after the last, room
+    waiting: list[tuple[int, float, int, int]] = []  # by room, those without room for the tokens at hand
+    start = 0
+
+    def put(cost: float, a: int, b: int, room: int, tokens: int) -> None:
+        if room >= tokens:
+            heappush(ready, (cost, a, b, room))
+        elif room:
+            heappush(waiting, (-room, cost, a, b))
+
+    for tokens in sorted(counts, reverse=True):
+        left, cost = counts[tokens], tokens + float(tokens) ** 2 / QUADRATIC
+        while waiting and -waiting[0][0] >= tokens:
+            room, load, a, b = heappop(waiting)
+            heappush(ready, (load, a, b, -room))
+        while left and ready:
+            load, a, b, room = heappop(ready)
+            n = min(left, b - a)
+            yield start, n, a, 1
+            start, left = start + n, left - n
+            put(load + cost, a, a + n, room - tokens, tokens)
+            if a + n < b:
+                heappush(ready, (load, a + n, b, room))
+        if left:  # new sequences, each filled before the next one is begun
+            each = capacity // tokens
+            yield start, left, free, each
+            whole, rest = divmod(left, each)
+            for n, size in ((whole, each), (int(rest > 0), rest)):
+                if n:
+                    load = 0.0
+                    for _ in range(size):
+                        load += cost
+                    put(load, free, free + n, capacity - size * tokens, tokens)
+                    free += n
+            start += left
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -65,18 +91,33 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return d.withColumn("tokens", tokens)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, seed: str = SEED) -> DataFrame:
-    """One row for each piece: its group, its sequence in the group, place in the text, tokens
-    and cost."""
-    items = cut(pieces(docs, capacity))
-    groups = max(1, -(-items.count() // group_pieces))
-    same = Window.partitionBy("doc_id", "piece", "digest").orderBy("tokens")
-    items = items.withColumn("copy", F.row_number().over(same))
-    items = items.withColumn("pack_group", hash52(F.lit(seed), *map(F.col, ("doc_id", "piece", "digest", "copy"))) % groups).drop("digest", "copy")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], na_position="first", kind="stable", ignore_index=True)
-        seq, cost = greedy(pdf["tokens"].to_numpy(), capacity)
-        return pdf.assign(seq=seq, cost=cost)[["pack_group", "seq", "doc_id", "piece", "start_char", "end_char", "tokens", "cost"]]
-
-    return items.groupBy("pack_group").applyInPandas(one, SCHEMA)
+def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+    """One row for each piece: its sequence, place in the text, tokens and cost."""
+    found = cut(pieces(docs, capacity))
+    order = ["short", "doc_id", "piece", "digest", "row"]  # row parts equal rows, of which there may be many
+    items = found.withColumn("short", -F.col("tokens")).withColumn("row", F.monotonically_increasing_id())
+    items = ranked(items, None, order, "rank", "total").withColumn("at", F.col("rank") - 1)
+    items = items.select("doc_id", "piece", "start_char", "end_char", "tokens", "at", F.expr(f"at div {block}").alias("block"))
+
+    def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = {t: n for f in frames for t, n in zip(f["tokens"].tolist(), f["n"].tolist(), strict=True)}
+        held = []
+        for step in greedy(counts, capacity) if counts else ():
+            held.append(step)
+            if len(held) == 10_000:
+                yield pd.DataFrame(held, columns=["start", "n", "seq", "each"])
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=["start", "n", "seq", "each"])
+
+    # at most capacity rows go into the one task
+    counts = found.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).coalesce(1)
+    runs = counts.mapInPandas(steps, "start bigint, n bigint, seq bigint, each bigint")
+    # a block begins with the step that its first rank belongs to
+    blocks = F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + n - 1) div {block}")))
+    runs = runs.withColumn("block", blocks).select(F.greatest("start", F.col("block") * block).alias("at"), "block", F.struct("start", "seq", "each").alias("step"))
+    last = Window.partitionBy("block").orderBy("at", F.col("step").isNull())
+    both = items.unionByName(runs, True).withColumn("step", F.last("step", True).over(last)).where("tokens is not null")
+    seq = F.col("step.seq") + F.expr("(at - step.start) div step.each")
+    cost = F.col("tokens") + F.col("tokens").cast("double") * F.col("tokens") / QUADRATIC
+    return both.select(seq.alias("seq"), "doc_id", "piece", "start_char", "end_char", "tokens", cost.alias("cost"))

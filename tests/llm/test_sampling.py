@@ -1,10 +1,11 @@
 """Mixing, sharding and packing."""
 
+import random
 from collections import Counter
 from hashlib import md5
 from math import floor, sqrt
 
-import numpy as np
+import pytest
 
 from matrixloom.llm import mixing, packing, sharding
 from tests.llm.conftest import DOCS, awkward
@@ -95,45 +96,67 @@ def test_every_shard_has_the_mixture(spark):
     assert all(abs(got[s, "a"] - 300) <= 1 and abs(got[s, "b"] - 100) <= 1 for s in range(10))
 
 
-def test_packing_covers_every_text_once(spark, odd, clashing, none):
-    for df in (odd, clashing):
-        got = packing.pack(df, capacity=512, group_pieces=10).collect()
-        load = Counter()
-        cover = Counter()
-        for r in got:
-            load[r.pack_group, r.seq] += r.tokens
-            cover[r.doc_id, r.start_char, r.end_char] += 1
-            assert r.tokens == -(-(r.end_char - r.start_char) // 4)
-        assert max(load.values()) <= 512
-        want = Counter()
-        for doc_id, text, *_ in awkward():
-            for s in range(0, len(text or ""), 2048):
-                want[doc_id, s, min(s + 2048, len(text))] += 1
-        assert cover == want
-    assert packing.pack(none).count() == 0
-
-
-def test_null_and_repeated_ids_spread(spark):
-    rows = [(None, f"text {i}", "en", "s", 1) for i in range(200)] + [(7, "the same", "en", "s", 1)] * 200
-    got = packing.pack(spark.createDataFrame(rows, DOCS), group_pieces=40).collect()
-    for key in (None, 7):
-        sizes = Counter(r.pack_group for r in got if r.doc_id == key)
-        assert len(sizes) == 10 and max(sizes.values()) <= 60 and sum(sizes.values()) == 200
-
-
-def test_greedy_against_a_plain_loop():
-    rng = np.random.default_rng(2)
-    tokens = -np.sort(-rng.integers(1, 100, 300))
-    got, cost = packing.greedy(tokens, 100)
-    n = -(-int(tokens.sum()) // 100)
-    load, room = [0.0] * n, [100] * n
-    for t, c, g in zip(tokens, cost, got, strict=True):
+def plain_greedy(tokens, capacity):
+    """Sequence of each piece, one after the other."""
+    n = max(1, -(-sum(tokens) // capacity))
+    load, room, out = [0.0] * n, [capacity] * n, []
+    for t in tokens:
         fit = [i for i in range(len(load)) if room[i] >= t]
         if not fit:
             load.append(0.0)
-            room.append(100)
+            room.append(capacity)
             fit = [len(load) - 1]
         best = min(fit, key=lambda i: (load[i], i))
-        assert best == g
-        load[best] += c
+        out.append(best)
+        load[best] += t + float(t) ** 2 / packing.QUADRATIC
         room[best] -= t
+    return out
+
+
+@pytest.mark.parametrize("seed,n,most,capacity", [(1, 300, 100, 100), (2, 500, 30, 100), (3, 200, 60, 100), (4, 1, 5, 100), (5, 400, 3, 7), (6, 300, 1000, 1000)])
+def test_steps_are_those_of_a_plain_loop(seed, n, most, capacity):
+    rng = random.Random(seed)
+    tokens = sorted((rng.randrange(1, most + 1) if rng.random() < 0.7 else most for _ in range(n)), reverse=True)
+    got = []
+    for start, m, seq, each in packing.greedy(Counter(tokens), capacity):
+        assert start == len(got)
+        got += [seq + i // each for i in range(m)]
+    assert got == plain_greedy(tokens, capacity)
+
+
+def test_steps_dont_grow_with_the_corpus():
+    rng = random.Random(3)
+    counts = Counter(min(8192, int(rng.lognormvariate(5, 1.3)) + 1) for _ in range(20_000))
+    few, many = (sum(1 for _ in packing.greedy({t: n * k for t, n in counts.items()})) for k in (1000, 1_000_000))
+    assert many < 1.1 * few
+
+
+def whole_packing(rows, capacity):
+    items = []
+    for doc_id, text, *_ in rows:
+        for i, s in enumerate(range(0, len(text or ""), capacity * 4)):
+            e = min(s + capacity * 4, len(text))
+            items.append((-(-(e - s) // 4), doc_id, i, s, e))
+    items.sort(key=lambda x: (-x[0], x[1] is not None, x[1] or 0, x[2]))
+    return Counter((q, x[1], x[2], x[3], x[4], x[0]) for q, x in zip(plain_greedy([x[0] for x in items], capacity), items, strict=True))
+
+
+def test_packing_against_a_plain_loop_over_the_whole_table(spark, odd, clashing, none):
+    rows = awkward()
+    for df in (odd, clashing):
+        for block in (7, 1 << 16):
+            got = Counter(tuple(r)[:6] for r in packing.pack(df, 512, block).collect())
+            want = whole_packing(rows, 512)
+            # different texts of one id and length are ordered by hash
+            plain = lambda c: sorted((q, n, k is None, k or 0, t) for (q, k, _, _, _, t), n in c.items())
+            assert plain(got) == plain(want)
+    assert packing.pack(none).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[(None, f"text {i}", "en", "s", 1) for i in range(300)], [(7, "the same", "en", "s", 1)] * 300, [(7, "text " * (i % 9), "en", "s", 1) for i in range(300)], [(1, "x" * 500_000, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0)]])
+def test_null_repeated_and_long_rows_are_packed(spark, rows):
+    got = Counter((r.seq, r.tokens) for r in packing.pack(spark.createDataFrame(rows, DOCS).repartition(3), 64, 50).collect())
+    want = Counter()
+    for (q, *_, t), n in whole_packing(rows, 64).items():
+        want[q, t] += n
+    assert got == want
