@@ -3,9 +3,10 @@
 Candidates are runs of base64 or hex characters, found by array operations over the bytes of a
 batch. A candidate is reported only once its structure was parsed:
 
-- private_key: DER inside base64, hex (in one run or wrapped over lines) or PEM armour whose nested lengths fill it exactly and
-  whose fields are those of PKCS#1, PKCS#8, encrypted PKCS#8 or SEC1; or an OpenSSH key with its
-  magic and length-prefixed strings;
+- private_key: DER inside base64, hex (in one run, at the end of one after one of +/-_, or wrapped
+  over lines) or PEM armour whose nested lengths fill it exactly and whose fields are those of
+  PKCS#1, PKCS#8, encrypted PKCS#8 or SEC1; or an OpenSSH key with its magic and length-prefixed
+  strings;
 - jwt: a signed token whose header decodes to JSON with an "alg" and whose payload is JSON;
 - aws_key_id: AKIA or ASIA and 16 upper-case letters and digits;
 - hex_secret, base64_secret: assigned to a name such as token, secret, password or api_key,
@@ -15,8 +16,9 @@ batch. A candidate is reported only once its structure was parsed:
 Digests, public keys and identifiers outside an assignment are not reported.
 
 Cases: null and empty texts have no findings; a null id is reported as null. Every occurrence is
-a finding of its own, in repeated rows too. Texts are scanned whole, however long. Other columns
-are ignored by scan and carried through by redact.
+a finding of its own, in repeated rows too. Texts are scanned whole, however long, in time that
+grows with their length. An empty table gives an empty result. Other columns are ignored by scan
+and carried through by redact.
 """
 
 from __future__ import annotations
@@ -41,13 +43,16 @@ _RUN = np.zeros(256, bool)
 _RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-"]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-_ASSIGN = np.zeros(256, bool)
-_ASSIGN[list(b":=>")] = True
+_WORD = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-")
+_BLANK = frozenset(b" \t\n\r\f\v")
 _HEX = re.compile(rb"[0-9a-fA-F]+\Z")
 _AWS = re.compile(rb"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 _JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_NAME = re.compile(rb"(?i)(?:secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential)[\w.-]{0,32}[\"']?\s{0,4}(?:[:=]|:=|=>)\s{0,4}[\"']?\Z")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\nr:,.-]*?)-----END \1-----")
+_NAME = re.compile(rb"(?i)secret|token|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|credential")
+_BEGIN = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+_END = re.compile(rb"-----END ([A-Z0-9 ]*PRIVATE KEY)-----")
+_OBJECT = re.compile(rb"\{\s*\"[\w.-]*\"\s*:")
+_AFTER = re.compile(rb"(?<=[+/_-])[A-Za-z0-9]")
 
 _LINE = re.compile(rb"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*([A-Za-z0-9+/_-]+)")
 _OPENSSH_HEADS = b"b3BlbnNzaC1rZXktdjEA", b"openssh-key-v1\0".hex().encode()
@@ -134,34 +139,77 @@ def _varied(raw: bytes) -> bool:
     return len(raw) >= 8 and len(set(raw)) >= min(16, (len(raw) + 1) // 2)
 
 
+def assigned(doc: bytes, start: int) -> bool:
+    """Whether the run at start is the value of a name such as token: the name, perhaps quoted,
+    then :, =, := or =>, then the value, perhaps quoted, with any space between."""
+    at = start - 1
+
+    def quote_and_space(at: int, quote_first: bool) -> int:
+        for quote in (quote_first, not quote_first):
+            if quote:
+                at -= at >= 0 and doc[at] in b"\"'"
+            else:
+                while at >= 0 and doc[at] in _BLANK:
+                    at -= 1
+        return at
+
+    at = quote_and_space(at, True)
+    if at < 0 or doc[at] not in b":=>":
+        return False
+    at -= 2 if doc[at - 1 : at + 1] in (b":=", b"=>") and at else 1
+    if doc[at + 1] == 62:  # a > alone
+        return False
+    end = at = quote_and_space(at, False)
+    while at >= 0 and doc[at] in _WORD:
+        at -= 1
+    return _NAME.search(doc, at + 1, end + 1) is not None
+
+
+def _signed(doc: bytes, start: int, end: int) -> tuple[str, int, int, int] | None:
+    """The signed token whose header is the end of the run doc[start:end]."""
+    at = doc.find(b"eyJ", start, end) if doc[end : end + 1] == b"." else -1
+    while at >= 0:
+        if _OBJECT.match(_b64(doc[at : min(end, at + 64) - (min(end, at + 64) - at) % 4]) or b"") and (m := _JWT.match(doc, at)):
+            head, body, _ = m.group(0).split(b".")
+            header = _json(head)
+            if isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(_json(body), dict):
+                return "jwt", at, m.end(), len(_b64(head) or b"") + len(_b64(body) or b"")
+        at = doc.find(b"eyJ", at + 1, end)
+    return None
+
+
+def _key(run: bytes) -> int | None:
+    """Decoded size of the private key that the run is, in hex or base64."""
+    raw = binascii.unhexlify(run) if len(run) % 2 == 0 and _HEX.match(run) else _b64(run)
+    return len(raw) if raw and (is_private_der(raw) or is_openssh_private(raw)) else None
+
+
 def confirm(doc: bytes, start: int, end: int) -> tuple[str, int, int, int] | None:
     """What the run doc[start:end] is, with its extent and decoded size, or None."""
     run = doc[start:end]
-    at = run.find(b"eyJ")
-    if at >= 0 and (m := _JWT.match(doc, start + at)):
-        head, body, _ = m.group(0).split(b".")
-        header = _json(head)
-        if isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(_json(body), dict):
-            return "jwt", m.start(), m.end(), len(_b64(head) or b"") + len(_b64(body) or b"")
+    if got := _signed(doc, start, end):
+        return got
     if (m := _AWS.search(doc, start, end)) and (m.start() == start or not doc[m.start() - 1 : m.start()].isalnum()):
         return "aws_key_id", m.start(), m.end(), 16
-    if _HEX.match(run) and len(run) % 2 == 0:
-        raw = binascii.unhexlify(run)
-        if is_private_der(raw) or is_openssh_private(raw):
-            return "private_key", start, end, len(raw)
-        if _varied(raw) and _NAME.search(doc, max(0, start - 64), start):
-            return "hex_secret", start, end, len(raw)
-        return None
     pad = end
     while pad < min(len(doc), end + 2) and doc[pad] == 61:
         pad += 1
+    is_hex = _HEX.match(run) and len(run) % 2 == 0
+    if size := _key(run):
+        return "private_key", start, end if is_hex else pad, size
+    for m in _AFTER.finditer(run):  # a key at the end of a longer run, after a path or a prefix
+        rest = len(run) - m.start()
+        need = _digits(run[m.start() : m.start() + 32])
+        if (need and need[0] == rest or any(run.startswith(h, m.start()) for h in _OPENSSH_HEADS)) and (size := _key(run[m.start() :])):
+            return "private_key", start + m.start(), end if need and need[1] else pad, size
+    if is_hex:
+        raw = binascii.unhexlify(run)
+        return ("hex_secret", start, end, len(raw)) if _varied(raw) and assigned(doc, start) else None
     raw = _b64(run)
     if raw is None:
         return None
-    if is_private_der(raw) or is_openssh_private(raw):
-        return "private_key", start, pad, len(raw)
     mixed = re.search(rb"[a-z]", run) and re.search(rb"[A-Z]", run)
-    if mixed and _varied(raw) and _NAME.search(doc, max(0, start - 64), start):
+    if mixed and _varied(raw) and assigned(doc, start):
         return "base64_secret", start, pad, len(raw)
     return None
 
@@ -210,28 +258,45 @@ def wrapped(doc: bytes, start: int, end: int) -> tuple[str, int, int, int] | Non
     return None
 
 
+def armoured(doc: bytes) -> list[tuple[str, int, int, int]]:
+    """Keys in PEM armour: from BEGIN to the first END of its label, if that is before the next BEGIN."""
+    out = []
+    begins = list(_BEGIN.finditer(doc))
+    ends = {}
+    for m in _END.finditer(doc):
+        ends.setdefault(m.group(1), []).append(m)
+    for i, m in enumerate(begins):
+        those = ends.get(m.group(1), [])
+        at = bisect_right(those, m.start(), key=lambda e: e.start())
+        if at == len(those) or i + 1 < len(begins) and begins[i + 1].start() < those[at].start():
+            continue
+        lines = re.sub(rb"\\[nr]", b"\n", doc[m.end() : those[at].start()]).split(b"\n")
+        raw = _b64(b"".join(b"".join(x for x in lines if b":" not in x).split()))
+        if raw and (is_private_der(raw) or is_openssh_private(raw)):
+            out.append(("private_key", m.start(), those[at].end(), len(raw)))
+    return out
+
+
 def find(doc: bytes, spans: list[tuple[int, int]]) -> list[tuple[str, int, int, int]]:
     """Confirmed findings in a document, byte offsets, in order and without overlap."""
-    out = []
-    if b"PRIVATE KEY-----" in doc:
-        for m in _PEM.finditer(doc):
-            lines = re.sub(rb"\\[nr]", b"", m.group(2)).split(b"\n")
-            raw = _b64(b"".join(b"".join(x for x in lines if b":" not in x).split()))
-            if raw and (is_private_der(raw) or is_openssh_private(raw)):
-                out.append(("private_key", m.start(), m.end(), len(raw)))
+    pem = armoured(doc) if b"PRIVATE KEY-----" in doc else []
+    begins, out, last = [x[1] for x in pem], list(pem), 0
     for s, e in spans:
-        if any(a <= s < b for _, a, b, _ in out[-64:]):
+        at = bisect_right(begins, s)
+        if s < last or at and s < pem[at - 1][2]:
             continue
         if got := wrapped(doc, s, e) or confirm(doc, s, e):
             out.append(got)
+            last = got[2]
+    out.sort(key=lambda x: x[1])
     if b"AKIA" in doc or b"ASIA" in doc:  # those that share a run with another finding or id
-        out.sort(key=lambda x: x[1])
-        begins, ends = [x[1] for x in out], [x[2] for x in out]
+        begins, ends, more = [x[1] for x in out], [x[2] for x in out], []
         for m in _AWS.finditer(doc):
             at = bisect_right(begins, m.start())
             if (not at or ends[at - 1] <= m.start()) and (at == len(begins) or begins[at] >= m.end()):
-                out.append(("aws_key_id", m.start(), m.end(), 16))
-    return sorted(out, key=lambda x: x[1])
+                more.append(("aws_key_id", m.start(), m.end(), 16))
+        out = sorted(out + more, key=lambda x: x[1])
+    return out
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,12 +314,17 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends = starts[keep], ends[keep]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int64)])
     keep = (digits[ends] > digits[starts]) | (ends - starts >= 40) | (data[starts] == 77)
-    for k in range(1, 7):  # a quote and up to four spaces are between
-        keep |= _ASSIGN[data[np.maximum(starts - k, 0)]] & (starts >= k)
     aws = np.zeros(n + 1, np.int64)
     if n > 3:
         aws[4:] = np.cumsum((data[:-3] == 65) & ((data[1:-2] == 75) | (data[1:-2] == 83)) & (data[2:-1] == 73) & (data[3:] == 65))
     keep |= aws[ends] > aws[np.minimum(starts + 3, n)]
+    doc = np.searchsorted(offsets, starts, "right") - 1
+    for i in np.flatnonzero(~keep).tolist():  # long words, few in any text
+        at = int(starts[i]) - 1
+        at -= at >= 0 and data[at] in (34, 39)
+        while at >= 0 and int(data[at]) in _BLANK:
+            at -= 1
+        keep[i] = at >= offsets[doc[i]] and data[at] in (58, 61, 62)
     starts, ends = starts[keep], ends[keep]
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
@@ -287,8 +357,9 @@ def scan(docs: DataFrame) -> DataFrame:
             ids = b.column(0)
             out: list[list] = [[], [], [], [], []]
             for row, text, found in _scan(b.column(1)):
+                at = done = 0
                 for kind, s, e, n in found:
-                    at = len(text[:s].decode("utf-8", "replace"))
+                    at, done = at + len(text[done:s].decode("utf-8", "replace")), s
                     for col, v in zip(out, (ids[row].as_py(), kind, at, at + e - s, n), strict=True):
                         col.append(v)
             if out[0]:
