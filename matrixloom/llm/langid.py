@@ -20,8 +20,9 @@ texts takes quartile and spread of all if they are greater, one with none the wi
 where no language has two labelled texts there is no limit.
 
 Cases: null and empty texts have no language and are rejected. A null id is carried. Rows without
-a label are no training rows, but are scored; repeated rows get equal results. With no labelled
-row at all every text is rejected. Ties go to the first language by name. Texts are scored whole.
+a label or an id are no training rows, but are scored; repeated rows get equal results. With no labelled
+row at all every text is rejected. Ties go to the first language by name. Texts are scored whole,
+however long. An empty table gives an empty result.
 Other columns are ignored by identify and carried through by keep_identified.
 """
 
@@ -51,8 +52,9 @@ FAR = 1.0
 SPREAD = 0.1, 0.5
 #: Held-out texts with which a language's own spread is relied on.
 FEW = 8
-#: Contexts whose costs are worked out at a time.
+#: Contexts whose costs are worked out at a time, and bytes that are scored at a time.
 FIT_ROWS = 4096
+SEGMENT = 1 << 19
 SEED = "langid-1"
 
 
@@ -181,26 +183,28 @@ def _limits(costs: list[np.ndarray]) -> np.ndarray:
     return np.where(np.isinf(out), out.max(), out)
 
 
-def score(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Code length in bits of each document under each language."""
-    n_docs, n = len(offsets) - 1, len(data)
+def score(model: Model, data: np.ndarray, offsets: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """Code length in bits of each document under each language, a segment of bytes at a time."""
+    n_docs, n, k = len(offsets) - 1, len(data), model.step.shape[1]
     out = np.zeros((n_docs, len(model.languages)))
-    if not n:
-        return out
     kind = np.int32 if model.step.size < 1 << 31 else np.int64
-    s = model.symbol[data].astype(kind)
-    k = model.step.shape[1]
-    flat = model.step.ravel()
+    flat, bits = model.step.ravel(), model.bits.reshape(-1, len(model.languages))
     full = np.flatnonzero(np.diff(offsets) > 0)
     begin = offsets[:-1][full]
-    # state[i]: context before byte i, out of the bytes of its own document
-    state = np.zeros(n, kind)
-    for _ in range(model.order):
-        after = flat[state * k + s]
-        state[1:] = after[:-1]
-        state[begin] = 0
-    cost = model.bits.reshape(-1, len(model.languages))[state * k + s]
-    out[full] = np.add.reduceat(cost, begin, axis=0, dtype=np.float64)
+    for first in range(0, n, segment):
+        # a byte's context lies within the order bytes before it
+        low, high = max(0, first - model.order), min(n, first + segment)
+        s = model.symbol[data[low:high]].astype(kind)
+        here = begin[np.searchsorted(begin, low) : np.searchsorted(begin, high)] - low
+        # state[i]: context before byte i, out of the bytes of its own document
+        state = np.zeros(high - low, kind)
+        for _ in range(model.order):
+            after = flat[state * k + s]
+            state[1:] = after[:-1]
+            state[here] = 0
+        cost = bits[(state * k + s)[first - low :]]
+        docs = np.arange(np.searchsorted(begin, first, "right") - 1, np.searchsorted(begin, high))
+        out[full[docs]] += np.add.reduceat(cost, np.maximum(begin[docs] - first, 0), axis=0, dtype=np.float64)
     return out
 
 
@@ -210,19 +214,19 @@ def score_one(model: Model, text: bytes) -> np.ndarray:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, held_out: int = HELD_OUT) -> Model:
     """Fit on the train_docs + held_out labelled documents of each language with lowest hash; of
-    fewer, the same share is held out. Equal texts count once, lest a copy is held out."""
-    d = project(docs, "doc_id", "lang", "text")
-    draw = hash52(F.lit(SEED), F.col("doc_id"))
-    some = d.where("lang is not null and doc_id is not null").select("lang", "doc_id", draw.alias("draw"))
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    picked = {(r.lang, r.doc_id): r.nth for r in some.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= train_docs + held_out).select("lang", "doc_id", "nth").collect()}
+    fewer, the same share is held out. Rows that repeat id and text are one, and equal texts count
+    once, lest a copy is held out."""
+    d = project(docs, "doc_id", "lang", "text").where("lang is not null and doc_id is not null and text <> ''")
+    some = d.select("lang", "doc_id", F.xxhash64("text").alias("h"), hash52(F.lit(SEED), F.col("doc_id")).alias("draw"))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "h")
+    picked = some.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= train_docs + held_out).select("lang", "doc_id", "h", "nth").distinct().collect()
     if not picked:
         return fit({}, {})
-    wanted = F.broadcast(d.sparkSession.createDataFrame([(k,) for k in {i for _, i in picked}], "doc_id bigint"))
-    rows = d.join(wanted, "doc_id").where("text <> '' and lang is not null").select("doc_id", "lang", F.encode("text", "utf-8").alias("body")).collect()
+    wanted = F.broadcast(d.sparkSession.createDataFrame(picked, "lang string, doc_id bigint, h bigint, nth int"))
+    rows = d.withColumn("h", F.xxhash64("text")).join(wanted, ["lang", "doc_id", "h"]).dropDuplicates(["lang", "nth"])
     drawn: dict[str, dict[bytes, None]] = {}
-    for _, lang, body in sorted((picked[r.lang, r.doc_id], r.lang, bytes(r.body)) for r in rows if (r.lang, r.doc_id) in picked):
-        drawn.setdefault(lang, {})[body] = None
+    for r in sorted(rows.select("lang", "nth", F.encode("text", "utf-8").alias("body")).collect(), key=lambda r: (r.lang, r.nth)):
+        drawn.setdefault(r.lang, {})[bytes(r.body)] = None
     texts: dict[str, list[bytes]] = {}
     apart: dict[str, list[bytes]] = {}
     for lang, bodies in drawn.items():

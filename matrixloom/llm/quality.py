@@ -9,7 +9,8 @@ arrays of feature, threshold, children and value, and a batch descends all trees
 Cases: null and empty texts have the statistics of an empty document and are scored as such.
 A null id is carried; labels without an id, with a null quality, or for no document, train
 nothing; of several labels for an id the lowest counts. Without labels every score is 0.5.
-Repeated rows get equal scores. Texts are read whole. Other columns are ignored.
+Repeated rows get equal scores. Texts are read whole, however long. An empty table gives an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,8 +57,12 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    keys = np.unique(mix64(h + mix64(doc.astype(np.uint64) + np.uint64(1))) >> np.uint64(20) << np.uint64(20) | doc.astype(np.uint64)) if n < 1 << 20 else np.zeros(0, np.uint64)
-    return np.bincount((keys & np.uint64((1 << 20) - 1)).astype(np.int64), minlength=n).astype(float)
+    """Distinct hashes of each document."""
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return np.bincount(doc[new], minlength=n).astype(float)
 
 
 def statistics(data: np.ndarray, offsets: np.ndarray, folded: np.ndarray, folded_offsets: np.ndarray) -> np.ndarray:
@@ -191,7 +196,8 @@ def batch_statistics(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
-    """Trees from the labelled documents with the rows lowest hashes."""
+    """Trees from the labelled documents with the rows lowest hashes, rows at most; rows that repeat
+    an id count once unless their texts differ."""
     known = project(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(hash52(F.lit(SEED), F.col("doc_id")), "doc_id").limit(rows)
@@ -201,7 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0), monotone)
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(k,) for k in picked], "doc_id bigint"))  # rows at most
-    got = _features(project(docs, "doc_id", "text").join(wanted, "doc_id")).collect()
+    got = _features(project(docs, "doc_id", "text").join(wanted, "doc_id")).distinct()
+    got = got.orderBy(hash52(F.lit(SEED), F.col("doc_id")), "doc_id", "stats").limit(rows).collect()
     got.sort(key=lambda r: (r.doc_id, r.stats))
     x = np.array([r.stats for r in got]).reshape(-1, len(FEATURES))
     return fit(x, np.array([float(picked[r.doc_id] > 0) for r in got]), monotone)

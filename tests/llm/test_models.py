@@ -79,6 +79,38 @@ def test_documents_of_a_batch_are_scored_apart():
         assert g == pytest.approx(langid.score_one(m, d), rel=1e-6)
 
 
+@pytest.mark.parametrize("segment", [1, 3, 7, 50, 10_000])
+def test_segments_of_long_texts_add_up(segment):
+    rng = random.Random(2)
+    texts = {k: [speech(rng, k, 60).encode() for _ in range(3)] for k in WORDS}
+    m = langid.fit(texts, texts)
+    docs = [speech(rng, rng.choice(list(WORDS)), n).encode() for n in (0, 3, 50, 0, 1, 20, 0)]
+    data, offsets = np.frombuffer(b"".join(docs), np.uint8), np.cumsum([0, *map(len, docs)])
+    assert langid.score(m, data, offsets, segment) == pytest.approx(langid.score(m, data, offsets), rel=1e-6)
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(1, speech(rng, "en", 20) + str(i), "en", "s", 1) for i in range(50)] + [(2, "le la les", "fr", "s", 1)] * 60 + [(2, "the of the", "en", "s", 1), (3, "la rivière", "fr", "s", 1)]
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, apart, *_: seen.update(texts=texts, apart=apart))
+    langid.train(spark.createDataFrame(rows, DOCS).repartition(3), 6, 2)
+    sizes = {k: len(seen["texts"][k]) + len(seen["apart"][k]) for k in seen["texts"]}
+    assert sizes == {"en": 8, "fr": 2}
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(quality, "fit", lambda x, y, *_: seen.update(x=x, y=y))
+    quality.train(spark.createDataFrame(rows, DOCS).repartition(3), labels, 30)
+    assert len(seen["x"]) == len(seen["y"]) == 30
+
+
+@pytest.mark.parametrize("n", [3, 1 << 20, (1 << 20) + 1])
+def test_distinct_at_any_number_of_documents(n):
+    doc = np.array([0] * 10 + [n - 1] * 12)
+    h = np.array([*range(10), *([5, 6] * 6)], np.uint64)
+    got = quality._distinct(h, doc, n)
+    assert got[0] == 10 and got[n - 1] == 2 and got.sum() == 12
+
+
 @pytest.fixture(scope="module")
 def spoken(spark):
     rng = random.Random(5)
