@@ -81,13 +81,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete a table that cut() wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if "/t-" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            if "/t-" in path:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

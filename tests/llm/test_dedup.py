@@ -162,14 +162,15 @@ def test_awkward_documents(spark, odd, clashing, none):
     assert superminhash.near_duplicates(none).count() == superminhash.keep_one(none).count() == 0
 
 
-def test_components_by_rounds_and_in_one_task(spark):
+def test_components_against_union_find(spark):
     rng = random.Random(8)
     pairs = {tuple(sorted(rng.sample(range(300), 2))) for _ in range(220)} | {(i, i + 1) for i in range(400, 440)}
     df = spark.createDataFrame([(a.to_bytes(2, "big"), b.to_bytes(2, "big")) for a, b in pairs], "a binary, b binary")
     want = superminhash._roots(list(pairs))
-    for local in (10_000, 0):
-        got = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in superminhash.components(df, local).collect()}
+    for n in (1, 7):
+        got = {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in superminhash.components(df.repartition(n)).collect()}
         assert got == want
+    assert superminhash.components(df.limit(0)).count() == 0
 
 
 def test_buckets_are_searched_whole():
@@ -177,6 +178,57 @@ def test_buckets_are_searched_whole():
     base = rng.integers(0, 65536, (3, 128))
     sig = np.concatenate([np.where(rng.random((40, 128)) < 0.3, rng.integers(0, 65536, (40, 128)), b) for b in base]).astype(np.uint16)
     sig = sig[rng.permutation(len(sig))]
-    same = (sig[:, None] == sig[None]).sum(2) >= 52
-    want = superminhash._roots([(i, j) for i in range(len(sig)) for j in range(i) if same[i, j]])
-    assert superminhash._roots(superminhash.reach(sig, 52)) == want
+    same = (sig[:, None] == sig[None]).sum(2)
+    for high, low in ((52, 40), (70, 60), (129, 50)):
+        edges, label, open_ = superminhash.links(sig, np.arange(len(sig)), np.ones(len(sig), bool), low, high)
+        want = superminhash._roots([(i, i) for i in range(len(sig))] + [(i, j) for i in range(len(sig)) for j in range(i) if same[i, j] >= high])
+        assert superminhash._roots([(i, i) for i in range(len(sig))] + edges) == want
+        assert open_.tolist() == [any(same[i, j] >= low and want[i] != want[j] for j in range(len(sig)) if j != i) for i in range(len(sig))]
+
+
+def test_exact_links():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(50)]
+    plain = [set(x.tolist()) for x in sets]
+    for t in (0.3, 0.5, 1.0):
+        want = superminhash._roots([(i, i) for i in range(50)] + [(i, j) for i in range(50) for j in range(i) if len(plain[i] & plain[j]) / len(plain[i] | plain[j]) >= t])
+        assert superminhash._roots([(i, i) for i in range(50)] + superminhash.exact_links(sets, np.arange(50), t)) == want
+
+
+def at_similarity(rng, base, j):
+    """A text whose trigrams have about the similarity j with those of base: its first part, then new words."""
+    n = len(base)
+    keep = round(2 * j / (1 + j) * n)
+    return base[:keep] + [f"n{rng.randrange(10**9)}" for _ in range(n - keep)]
+
+
+def test_near_the_threshold(spark):
+    """Pairs just below never join, pairs just above do, save those that no band brings together."""
+    rng = random.Random(31)
+    rows = []
+    for g in range(120):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+        j = (0.36, 0.385, 0.43, 0.47)[g % 4]
+        rows += [(2 * g, " ".join(base), "en", "s", 1), (2 * g + 1, " ".join(at_similarity(rng, base, j)), "en", "s", 1)]
+    exact = [len(a & b) / len(a | b) for a, b in ((grams(rows[2 * g][1]), grams(rows[2 * g + 1][1])) for g in range(120))]
+    got = {r.doc_id: r.group_id for r in superminhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    joined = [got[2 * g] == got[2 * g + 1] for g in range(120)]
+    assert not any(x for x, j in zip(joined, exact, strict=True) if j < 0.4)
+    above = [x for x, j in zip(joined, exact, strict=True) if j >= 0.4]
+    assert len(above) == 60 and sum(above) >= 54
+
+
+@pytest.mark.parametrize("bucket", [3, 8, 10**6])
+def test_hot_buckets_in_parts(spark, bucket):
+    """Two large groups and strays that share bands: the same components whatever the size of a part."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(2):
+        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(150))
+        rows += [(g * 1000 + i, edited(rng, base, 0.1), "en", "s", 1) for i in range(40)]
+    rows += [(3000 + i, " ".join(at_similarity(rng, rows[i][1].split(), 0.45)), "en", "s", 1) for i in range(20)]
+    df = spark.createDataFrame(rows, DOCS)
+    nodes = superminhash.sketches(df).select("digest", "sig", "bands")
+    got = superminhash.roots_of(nodes, df, bucket=bucket).collect()
+    whole = {(bytes(r.node), bytes(r.root)) for r in superminhash.roots_of(nodes, df, bucket=10**6).collect()}
+    assert {(bytes(r.node), bytes(r.root)) for r in got} == whole and len(whole) > 80
