@@ -1,17 +1,19 @@
 """Substring removal by hashing lines and the sentences in them.
 
-A unit is a line, or a part of one that ends in a word with a full stop, exclamation or question
-mark, so that passages are found wherever in a line they begin. Units are normalised (ASCII and
-Latin-1 letters lower-cased, space collapsed), hashed to 128 bits and grouped over the whole
-corpus. The occurrence of lowest document id and lowest place stays, the rest are cut from their
-texts together with the space up to the next unit; the offsets that were cut refer to the
-original text, in characters. Units of fewer than `least` words always stay: LEAST_WORDS unless
-set, 1 in op3_line_dedup, where every unit counts.
+A unit is a whole line of any length, or, in a line of several sentences, a sentence of LEAST_WORDS
+words or more: a part that ends in a word with a full stop, exclamation or question mark, so that
+passages are found wherever in a line they begin. Shorter sentences inside a line stay, as "In."
+or "Of the." repeat by chance. Units are normalised (ASCII and Latin-1 letters lower-cased, space
+collapsed), hashed twice to 64 bits from the bytes up, and grouped over the whole corpus. The
+occurrence of lowest document id and lowest place stays, the rest are cut from their texts together
+with the space up to the next unit; the offsets that were cut refer to the original text, in
+characters.
 
 Repeats within a batch are marked before the shuffle, so a unit that fills the corpus sends one
 row a batch. Grouping streams through a rank: no group is held in memory.
 
-Cases: null texts come out null with nothing cut, empty ones empty. A null id ranks after all
+Cases: null texts come out null with nothing cut, empty ones empty; very long texts are units like
+any other. A null id ranks after all
 others. Rows that repeat id and text are one document and come out once; documents of equal id
 but different text are ranked by hash. An empty table gives an empty one. Other columns are
 ignored.
@@ -48,16 +50,19 @@ def fold(data: np.ndarray) -> np.ndarray:
 
 
 def units(data: np.ndarray, offsets: np.ndarray, least: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
-    """h1, h2, document, first and last character of each unit of least words or more."""
-    w, starts, ends, doc = word_hashes(fold(data), offsets)
+    """h1, h2, document, first and last character of each line and of each sentence of least words
+    or more."""
+    folded = fold(data)
+    w, starts, ends, doc = word_hashes(folded, offsets)
     n = len(w)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z, z, z
+    w2 = span_hash(folded, starts, ends, _BASE2)
     lines = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int64)])
-    last = np.ones(n, bool)
-    last[:-1] = (doc[1:] != doc[:-1]) | (lines[starts[1:]] > lines[ends[:-1]]) | _STOP[data[ends[:-1] - 1]]
-    end = np.flatnonzero(last) + 1
+    line_end = np.ones(n, bool)
+    line_end[:-1] = (doc[1:] != doc[:-1]) | (lines[starts[1:]] > lines[ends[:-1]])
+    end = np.flatnonzero(line_end | _STOP[data[ends - 1]]) + 1
     first = np.concatenate([[0], end[:-1]])
     d = doc[first]
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
@@ -66,9 +71,10 @@ def units(data: np.ndarray, offsets: np.ndarray, least: int = LEAST_WORDS) -> tu
     same = d[1:] == d[:-1]
     following[:-1][same] = start[1:][same]
     base = chars[offsets[d]]
-    keep = end - first >= least
+    whole = line_end[end - 1] & ((first == 0) | line_end[first - 1])
+    keep = whole | (end - first >= least)
     first, end = first[keep], end[keep]
-    return span_hash(w, first, end).view(np.int64), span_hash(w, first, end, _BASE2).view(np.int64), d[keep], (chars[start] - base)[keep], (chars[following] - base)[keep]
+    return span_hash(w, first, end).view(np.int64), span_hash(w2, first, end, _BASE2).view(np.int64), d[keep], (chars[start] - base)[keep], (chars[following] - base)[keep]
 
 
 def _run(least: int):

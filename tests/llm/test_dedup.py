@@ -14,10 +14,11 @@ from tests.llm.conftest import DOCS, awkward, prose
 def units(text, least):
     """(key, start, stop) of each unit of a text, one word at a time."""
     words = [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x20]+", text)]
-    ends = [i for i, (a, b) in enumerate(words) if i + 1 == len(words) or "\n" in text[b : words[i + 1][0]] or text[b - 1] in ".!?"]
+    line_ends = {i for i, (_, b) in enumerate(words) if i + 1 == len(words) or "\n" in text[b : words[i + 1][0]]}
+    ends = [i for i, (_, b) in enumerate(words) if i in line_ends or text[b - 1] in ".!?"]
     first = 0
     for e in ends:
-        if e + 1 - first >= least:
+        if e + 1 - first >= least or e in line_ends and (not first or first - 1 in line_ends):
             stop = words[e + 1][0] if e + 1 < len(words) else len(text)
             yield " ".join(text[a:b] for a, b in words[first : e + 1]).lower(), words[first][0], stop
         first = e + 1
@@ -49,7 +50,7 @@ def test_lines_against_brute_force(spark, request, which):
         df = spark.createDataFrame(rows, DOCS)
     else:
         rows, df = [r for r in awkward() if r[0] != 2], request.getfixturevalue(which).where("doc_id is null or doc_id <> 2")
-    want = brute_lines(rows, 5)
+    want = brute_lines(rows, linededup.LEAST_WORDS)
     got = linededup.remove_repeats(df).collect()
     assert len(got) == len(want) + len({r[0] for r in rows if r[1] is None})
     left = Counter((r.doc_id, r.text, tuple(map(tuple, r.removed))) for r in got if r.text is not None)
@@ -57,13 +58,21 @@ def test_lines_against_brute_force(spark, request, which):
     assert all(r.n_removed == len(r.removed) for r in got)
 
 
-def test_query_removes_short_lines_and_sentences(spark, tmp_path):
-    texts = ["Ietzte.\nAll rights reserved.\nA line that is longer than five words.", "New one here. All rights reserved. Another.\nIetzte.", "ietzte.\nIetzte.", "x", "x", "Stteen Erachtz.\n\nIetzte."]
+def test_query_removes_lines_of_any_length_and_long_sentences(spark, tmp_path):
+    texts = ["Ietzte.\nAll rights reserved.\nA line that is longer than five words.", "New one here. All rights reserved. A line that is longer than five words. Another.\nIetzte.", "ietzte.\nIetzte.", "x", "x", "Stteen Erachtz.\n\nIetzte.", "All rights\treserved."]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.text, [tuple(x) for x in r.removed]) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
-    assert got == {k[0]: v for k, v in brute_lines(rows, 1).items()}
-    assert got[1][0] == "New one here. Another.\n" and got[2][0] == got[4][0] == ""
+    assert got == {k[0]: v for k, v in brute_lines(rows, linededup.LEAST_WORDS).items()}
+    assert got[1][0] == "New one here. All rights reserved. Another.\n" and got[2][0] == got[4][0] == got[6][0] == ""
+
+
+def test_texts_of_one_id_are_ranked_once(spark):
+    """Documents of equal id and different text: one of them keeps what they share, whichever it is."""
+    rows = [(1, "shared line\nfirst", "en", "s", 1), (1, "shared line\nsecond", "en", "s", 1), (1, "shared line\nfirst", "en", "s", 1), (2, "shared line", "en", "s", 1)]
+    got = linededup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2]
+    assert sorted(r.text.count("shared") for r in got if r.doc_id == 1) == [0, 1] and [r.text for r in got if r.doc_id == 2] == [""]
 
 
 def test_no_lines(spark, none):
