@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: A side is broadcast only after it was counted and has no more rows than this.
+#: A side is broadcast only after it was measured and has no more rows and bytes, as JSON, than this.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 19
 
 _TYPES = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint", "quality": "int", "toxic": "int", "vec_id": "bigint", "embedding": "array<float>"}
@@ -61,11 +62,15 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where
-    the session names none, as in tests on one machine."""
+    """The folder that the cluster names in spark.checkpoint.dir, or that was set as the context's
+    checkpoint folder; a temporary one only where there is none and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and (set_ := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        named = set_.get()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="loom-")
         atexit.register(shutil.rmtree, _OWN["dir"], True)
@@ -91,16 +96,18 @@ def drop_cut(*tables: DataFrame) -> None:
                 where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a table counted to be small; beyond that the table as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a table measured to be small; beyond that the table as it is."""
+    n, octets = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and octets <= size else df
 
 
 def arrow_batches(spark: SparkSession) -> None:
     """Keep a batch sent to Python within a few MB, unless the session has set its own."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    for name, default, value in (("maxRecordsPerBatch", ("10000",), "2000"), ("maxBytesPerBatch", ("67108864b", "67108864", "64MB", "-1"), str(8 << 20))):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name) in default:
+            spark.conf.set(name, value)
 
 
 def hash52(*cols: Column) -> Column:
@@ -126,8 +133,10 @@ def ranked(df: DataFrame, group: str | None, order: list[str], rank: str, total:
 
     The sorted table is written before it is counted, so that ranges never change in between.
     """
-    keys = [*([group] if group else []), *order]
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    # equal rows are told apart, as they may be many
+    df = df.withColumn("__salt", F.monotonically_increasing_id())
+    keys = [*([group] if group else []), *order, "__salt"]
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).drop("__salt")
     table = cut(ranged.withColumn("__at", F.monotonically_increasing_id()))
     by = [F.shiftright("__at", 33).alias("__part"), *([F.col(group).alias("__g")] if group else [])]
     parts = table.groupBy(*by).agg(F.min("__at").alias("__low"), F.count(F.lit(1)).alias("__n"))
@@ -138,7 +147,7 @@ def ranked(df: DataFrame, group: str | None, order: list[str], rank: str, total:
     if group:
         cond = cond & table[group].eqNullSafe(parts["__g"])
     out = table.join(small(parts), cond).withColumn(rank, F.col("__before") + F.col("__at") - F.col("__low") + 1)
-    return out.select(*df.columns, rank, total)
+    return out.select(*ranged.columns, rank, total)
 
 
 # --- vectorised text primitives -------------------------------------------------------------

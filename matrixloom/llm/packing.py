@@ -94,9 +94,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """One row for each piece: its sequence, place in the text, tokens and cost."""
     found = cut(pieces(docs, capacity))
-    order = ["short", "doc_id", "piece", "digest", "row"]  # row parts equal rows, of which there may be many
-    items = found.withColumn("short", -F.col("tokens")).withColumn("row", F.monotonically_increasing_id())
-    items = ranked(items, None, order, "rank", "total").withColumn("at", F.col("rank") - 1)
+    items = ranked(found.withColumn("short", -F.col("tokens")), None, ["short", "doc_id", "piece", "digest"], "rank", "total").withColumn("at", F.col("rank") - 1)
     items = items.select("doc_id", "piece", "start_char", "end_char", "tokens", "at", F.expr(f"at div {block}").alias("block"))
 
     def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -160,3 +160,42 @@ def test_null_repeated_and_long_rows_are_packed(spark, rows):
     for (q, *_, t), n in whole_packing(rows, 64).items():
         want[q, t] += n
     assert got == want
+
+
+def test_one_row_repeated_is_spread_over_the_cluster(spark, monkeypatch):
+    from matrixloom.llm import common
+
+    sizes, real = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: sizes.append([len(p) for p in df.rdd.glom().collect()]) or real(df))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.createDataFrame([(7, "a")] * 4000, "doc_id bigint, source string").repartition(4)
+    got = common.ranked(df, "source", ["doc_id"], "r", "n")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r.r for r in got.collect()) == list(range(1, 4001)) and got.columns == ["doc_id", "source", "r", "n"]
+    assert sum(sizes[0]) == 4000 and max(sizes[0]) < 2000
+
+
+def test_shared_folder(spark):
+    from matrixloom.llm import common
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            _jsc = spark.sparkContext._jsc
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Elsewhere)
+    assert common.shared_folder(spark).startswith("file:/")
+    Elsewhere.conf.get = staticmethod(lambda name, default: "hdfs://named/folder/")
+    assert common.shared_folder(Elsewhere) == "hdfs://named/folder"
+
+
+def test_small_goes_by_rows_and_bytes(spark):
+    from matrixloom.llm.common import small
+
+    df = spark.range(100).selectExpr("id", "repeat('x', 1000) AS t")
+    hint = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hint(small(df)) and not hint(small(df, rows=99)) and not hint(small(df, size=50_000))
