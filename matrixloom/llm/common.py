@@ -77,11 +77,38 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _OWN["dir"]
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A path for a table of our own, deleted by drop_cut, or at the end of the driver as no result
+    that reads it lives longer."""
+    path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_delete_all)
+    _WRITTEN[path] = spark
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+    _WRITTEN.pop(path, None)
+
+
+def _delete_all() -> None:
+    for path, spark in list(_WRITTEN.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001, the JVM may be gone
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the table to the shared folder and read it again: ends the lineage, survives the
     loss of executors, and fixes the value of anything nondeterministic."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -89,11 +116,8 @@ def cut(df: DataFrame) -> DataFrame:
 def drop_cut(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote and that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-            if "/t-" in path:
-                where = spark._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        for folder in {f for f in (p.rsplit("/", 1)[0] for p in df.inputFiles()) if "/t-" in f}:
+            _delete(df.sparkSession, next((p for p in _WRITTEN if p.rsplit("/", 1)[1] == folder.rsplit("/", 1)[1]), folder))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:

@@ -28,7 +28,6 @@ Other columns are ignored.
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import arrow_batches, chunks, cut, drop_cut, project, shared_folder, small, span_hash, word_hashes
+from .common import arrow_batches, chunks, cut, drop_cut, new_folder, project, small, span_hash, word_hashes
 from .linededup import fold
 
 LEAST = 50
@@ -423,7 +422,7 @@ def _cut_by_kind(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of kind 0 and of kind 1, written in one pass as tables of their own, of which each
     can be deleted when it was read for the last time."""
     spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     rows.write.partitionBy("kind").parquet(path)
     plain = rows.drop("kind").schema
     out = []
