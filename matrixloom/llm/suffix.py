@@ -8,6 +8,11 @@ at most two symbols and a rank. A string of one block is ordered in one task. In
 finished order, neighbours whose first LEAST words agree form a run; its earliest place stays
 and the others are reported as removable.
 
+Blocks send each triple to be named once, however often it occurs in them. The merge is cut into
+slices at sampled suffixes whose ranks are known, and no two suffixes are equal, so slices are even
+even where most of the corpus is one passage; runs that cross from slice to slice are joined at the
+end by the hash of their LEAST words.
+
 Symbols travel in arrays, a block of the string or a slice of a sort a row, so Spark moves
 thousands of rows where the string has millions of symbols.
 
@@ -21,8 +26,8 @@ Words are runs of non-space bytes, ASCII and Latin-1 letters lower-cased.
 
 Cases: null and empty texts and texts of fewer words have no findings. A null id ranks last.
 Rows that repeat id and text are one document. Repeats within a document count. Passages of equal
-text stay in the document of lowest id, at their first place. Empty tables give empty results.
-Other columns are ignored.
+text stay in the document of lowest id, at their first place. Texts are read whole; a very long one
+is cut into blocks like the corpus. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,8 +68,9 @@ def _release(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
-def _by_key(df: DataFrame, tasks: int, fn: Callable[[int, dict[str, list]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """fn once for each key, with all rows of the key as lists by column."""
+def _by_key(df: DataFrame, keys: int, tasks: int, fn: Callable[[int, dict[str, list]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """fn once for each key below keys, with all rows of the key as lists by column. Tasks have
+    equally many keys."""
 
     def run(batches: Blobs) -> Blobs:
         held: dict[str, list] = {}
@@ -81,7 +87,8 @@ def _by_key(df: DataFrame, tasks: int, fn: Callable[[int, dict[str, list]], Iter
         if now is not None:
             yield from fn(now, held)
 
-    return df.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(run, schema)
+    tasks = max(1, min(keys, tasks))
+    return df.repartitionById(tasks, (F.col("key") % tasks).cast("int")).sortWithinPartitions("key").mapInArrow(run, schema)
 
 
 # --- one level ----------------------------------------------------------------------------------
@@ -100,9 +107,9 @@ def _edges(cols: list[np.ndarray], splitters: list[tuple]) -> np.ndarray:
     return np.array([0, *out, len(cols[0])], np.int64)
 
 
-def _splitters(string: DataFrame, n: int, blocks: int) -> list[tuple]:
+def _splitters(string: DataFrame, n: int, blocks: int, slice_: int) -> list[tuple]:
     """Triples that divide a sorted sample evenly; few, whatever the size of the string."""
-    parts = max(1, -(-n // SLICE))
+    parts = max(1, -(-n // slice_))
     each = max(8, SAMPLE // blocks)
 
     def run(batches: Blobs) -> Blobs:
@@ -121,71 +128,113 @@ def _splitters(string: DataFrame, n: int, blocks: int) -> list[tuple]:
     return [tuple(map(int, r)) for r in cuts]
 
 
-def _to_blocks(pos: np.ndarray, value: np.ndarray, block: int, halo: bool) -> Blobs:
-    """Pairs (place, value) sent to their blocks, and those at a block's start to the one before."""
+def _to_blocks(pos: np.ndarray, value: np.ndarray, block: int) -> Blobs:
+    """Pairs (place, value) sent to their blocks."""
+    if not len(pos):
+        return
     order = np.argsort(pos, kind="stable")
     pos, value = pos[order], value[order]
     b = pos // block
-    heads = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
+    heads = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     for s, e in zip(heads, [*heads[1:], len(b)], strict=True):
         yield _rows([int(b[s])], [np.stack([pos[s:e].astype(_U), value[s:e]], 1).tobytes()])
-        if halo and b[s] > 0:
-            few = pos[s:e] < b[s] * block + 2
-            if few.any():
-                yield _rows([int(b[s]) - 1], [np.stack([pos[s:e][few].astype(_U), value[s:e][few]], 1).tobytes()])
 
 
 def _place(blobs: list[bytes], key: int, block: int) -> np.ndarray:
-    """The values of a block and the two symbols after it, 0 where there are none."""
-    v = np.zeros(block + 2, _U)
+    """The values of a block from pairs of place and value."""
+    v = np.zeros(block, _U)
     for blob in blobs:
         p = np.frombuffer(blob, _U).reshape(-1, 2)
         v[(p[:, 0] - _U(key * block)).astype(np.int64)] = p[:, 1]
     return v
 
 
-def _string(pairs: DataFrame, n: int, block: int, tasks: int) -> DataFrame:
+def _stretch(first: int, values: np.ndarray, block: int) -> Blobs:
+    """Values from a place on as (key, at, data), cut at blocks, with two of a block to the one before."""
+    last = first + len(values)
+    for k in range(max(0, (first - 2) // block), (last - 1) // block + 1 if len(values) else 0):
+        low, high = max(first, k * block), min(last, (k + 1) * block + 2)
+        if low < high:
+            yield _rows([k], [values[low - first : high - first].tobytes()]).add_column(1, "at", pa.array([low], pa.int64()))
+
+
+def _string(stretches: DataFrame, n: int, block: int, tasks: int) -> DataFrame:
     """(key, data): blocks with two symbols of the next one."""
 
     def fn(key: int, rows: dict[str, list]) -> Blobs:
         size = min(block, n - key * block)
-        yield _rows([key], [_place(rows["data"], key, block)[: size + 2].tobytes()])
+        v = np.zeros(block + 2, _U)
+        for at, data in zip(rows["at"], rows["data"], strict=True):
+            i = at - key * block
+            v[i : i + len(data) // 8] = np.frombuffer(data, _U)
+        yield _rows([key], [v[: size + 2].tobytes()])
 
-    return _by_key(pairs, tasks, fn, "key bigint, data binary")
+    return _by_key(stretches, -(-n // block), tasks, fn, "key bigint, data binary")
 
 
-def _names(string: DataFrame, n: int, block: int, tasks: int, splitters: list[tuple]) -> DataFrame:
-    """Names of the sampled triples as pairs (place in the next string, name), and how many
-    triples were not the first of their kind."""
-    n1 = (n + 1) // 3
+def _triples(v: np.ndarray, key: int, block: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Sampled places of a block, from its start and in the string, its distinct triples in order,
+    and which of them each place has."""
+    pos = key * block + np.arange(len(v) - 2)
+    at = np.flatnonzero(pos % 3 != 0)
+    t = [v[at], v[at + 1], v[at + 2]]
+    order = np.lexsort(t[::-1])
+    t = [x[order] for x in t]
+    new = np.ones(len(at), bool)
+    new[1:] = (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1]) | (t[2][1:] != t[2][:-1])
+    which = np.empty(len(at), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return at, pos[at], [x[new] for x in t], which
+
+
+def _names(string: DataFrame, block: int, tasks: int, splitters: list[tuple]) -> DataFrame:
+    """(key, part, data, distinct): names of the distinct triples of each block by slice, and on one
+    row of a slice how many names it gave."""
 
     def send(batches: Blobs) -> Blobs:
         for b in batches:
             for key, data in zip(b.column("key").to_pylist(), b.column("data").to_pylist(), strict=True):
-                v = np.frombuffer(data, _U)
-                pos = key * block + np.arange(len(v) - 2)
-                at = np.flatnonzero(pos % 3 != 0)
-                order = at[np.lexsort((v[at + 2], v[at + 1], v[at]))]
-                cols = [v[order], v[order + 1], v[order + 2], pos[order].astype(_U)]
-                e = _edges(cols[:3], splitters)
+                *_, cols, _ = _triples(np.frombuffer(data, _U), key, block)
+                e = _edges(cols, splitters)
                 for p in np.flatnonzero(np.diff(e)).tolist():
-                    yield _rows([p], [np.stack([c[e[p] : e[p + 1]] for c in cols]).tobytes()])
+                    yield _rows([p], [np.stack([c[e[p] : e[p + 1]] for c in cols]).tobytes()]).add_column(1, "block", pa.array([key], pa.int64()))
 
     def name(p: int, rows: dict[str, list]) -> Blobs:
-        t0, t1, t2, pos = np.concatenate([np.frombuffer(x, _U).reshape(4, -1) for x in rows["data"]], axis=1)
+        each = [np.frombuffer(x, _U).reshape(3, -1) for x in rows["data"]]
+        t0, t1, t2 = np.concatenate(each, axis=1)
         order = np.lexsort((t2, t1, t0))
-        t0, t1, t2, pos = t0[order], t1[order], t2[order], pos[order].astype(np.int64)
-        new = np.ones(len(pos), bool)
+        t0, t1, t2 = t0[order], t1[order], t2[order]
+        new = np.ones(len(order), bool)
         new[1:] = (t0[1:] != t0[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
-        names = (_U(p) << _U(40)) + np.cumsum(new).astype(_U)
-        to = np.where(pos % 3 == 1, pos // 3, n1 + pos // 3)
-        again = int(len(pos) - new.sum())
-        for batch in _to_blocks(to, names, block, True):
-            yield batch.append_column("again", pa.array([again], pa.int64()))
-            again = 0
+        names = np.empty(len(order), _U)
+        names[order] = (_U(p) << _U(40)) + np.cumsum(new).astype(_U)
+        distinct, at = int(new.sum()), 0
+        for b, x in zip(rows["block"], each, strict=True):
+            n = x.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([p], pa.int64()), pa.array([names[at : at + n].tobytes()], pa.binary()), pa.array([distinct], pa.int64())], names=["key", "part", "data", "distinct"])
+            at, distinct = at + n, 0
+
+    sent = string.select("key", "data").mapInArrow(send, "key bigint, block bigint, data binary")
+    return _by_key(sent, len(splitters) + 1, tasks, name, "key bigint, part bigint, data binary, distinct bigint")
+
+
+def _named(string: DataFrame, names: DataFrame, n: int, block: int, tasks: int) -> DataFrame:
+    """The string of names: those of places 1 modulo 3, then of places 2."""
+    n1 = (n + 1) // 3
+
+    def fn(key: int, rows: dict[str, list]) -> Blobs:
+        own = next(d for p, d in zip(rows["part"], rows["data"], strict=True) if p is None)
+        _, pos, _, which = _triples(np.frombuffer(own, _U), key, block)
+        parts = sorted((p, d) for p, d in zip(rows["part"], rows["data"], strict=True) if p is not None)
+        value = np.concatenate([np.frombuffer(d, _U) for _, d in parts])[which] if parts else np.zeros(0, _U)
+        for kind in (1, 2):
+            mine = pos % 3 == kind
+            if mine.any():
+                yield from _stretch(int(pos[mine][0]) // 3 + (n1 if kind == 2 else 0), value[mine], block)
 
-    sent = string.select("key", "data").mapInArrow(send, "key bigint, data binary")
-    return _by_key(sent, max(tasks, len(splitters) + 1), name, "key bigint, data binary, again bigint")
+    both = names.select("key", "part", "data").unionByName(string.select("key", F.lit(None).cast("bigint").alias("part"), "data"))
+    stretches = _by_key(both, -(-n // block), tasks, fn, "key bigint, at bigint, data binary")
+    return _string(stretches, n1 + n // 3, block, tasks)
 
 
 def doubled(v: np.ndarray) -> np.ndarray:
@@ -260,90 +309,149 @@ def merged(zero: dict[str, np.ndarray], some: dict[str, np.ndarray]) -> np.ndarr
     return out
 
 
-def _merge(string: DataFrame, ranks: DataFrame, n: int, block: int, tasks: int, splitters: list[tuple], finish: Callable[[int, np.ndarray, dict[str, list]], Blobs], more: bool) -> DataFrame:
+def _rank_splitters(string: DataFrame, ranks: DataFrame, n: int, block: int, slice_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rank, first symbol and rank of the rest of sampled suffixes that divide the order evenly."""
+    n1, parts = (n + 1) // 3, max(1, -(-n // slice_))
+    if parts == 1:
+        return (np.zeros(0, _U),) * 3
+    js = np.unique(np.linspace(0, min(n1, n // 3) - 1, SAMPLE).astype(np.int64))
+
+    def pick(wanted: list[tuple[int, np.ndarray]], halo: int):
+        def run(batches: Blobs) -> Blobs:
+            for b in batches:
+                for key, data in zip(b.column("key").to_pylist(), b.column("data").to_pylist(), strict=True):
+                    v = np.frombuffer(data, _U)
+                    for kind, places in wanted:
+                        lo, hi = np.searchsorted(places, [key * block, key * block + len(v) - halo])
+                        if lo < hi:
+                            yield _rows([kind], [v[places[lo:hi] - key * block].tobytes()]).add_column(1, "at", pa.array([lo], pa.int64()))
+
+        return run
+
+    schema = "key bigint, at bigint, data binary"
+    some = ranks.select("key", "data").mapInArrow(pick([(0, js), (1, js + n1)], 0), schema).unionByName(string.select("key", "data").mapInArrow(pick([(2, 3 * js + 1)], 2), schema))
+    got = np.zeros((3, len(js)), _U)
+    for r in some.collect():  # SAMPLE numbers three times
+        x = np.frombuffer(bytes(r.data), _U)
+        got[r.key, r.at : r.at + len(x)] = x
+    own, after, first = got
+    cuts = np.unique(np.argsort(own)[np.linspace(0, len(js), parts + 1).astype(np.int64)[1:-1]])
+    cuts = cuts[np.argsort(own[cuts])]
+    return own[cuts], first[cuts], after[cuts]
+
+
+def slices_of(kind: np.ndarray, own: np.ndarray, first: np.ndarray, after: np.ndarray, splitters: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many splitters precede each suffix. Those of class 0 have no rank of their own and are
+    compared by their first symbol and the rank of the rest."""
+    s_own, s_first, s_after = splitters
+    out = np.searchsorted(s_own, own, "right")
+    zero = np.flatnonzero(kind == 0)
+    lo, hi = np.searchsorted(s_first, first[zero], "left"), np.searchsorted(s_first, first[zero], "right")
+    x = after[zero]
+    while (open_ := lo < hi).any():
+        mid = np.minimum((lo + hi) // 2, max(0, len(s_after) - 1))
+        less = open_ & (s_after[mid] < x)
+        lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+    out[zero] = lo
+    return out
+
+
+ORDERED = "kind int, key bigint, low bigint, data binary"
+
+
+def _merge(string: DataFrame, ranks: DataFrame, n: int, block: int, slice_: int, tasks: int, finish: Callable[[int, np.ndarray, np.ndarray | None], Blobs], more: bool) -> DataFrame:
     """All suffixes in order, slice by slice, given to finish. more: with the hashes of runs of
     LEAST words, which the first level carries along."""
     n1 = (n + 1) // 3
+    splitters = _rank_splitters(string, ranks, n, block, slice_)
 
     def back(batches: Blobs) -> Blobs:
+        """Ranks to the blocks that their suffixes begin in, or up to two symbols before."""
         for b in batches:
             for key, data in zip(b.column("key").to_pylist(), b.column("data").to_pylist(), strict=True):
-                r = np.frombuffer(data, _U)
-                to = key * block + np.arange(len(r))
-                pos = np.where(to < n1, 3 * to + 1, 3 * (to - n1) + 2)
-                for batch in _to_blocks(pos, r, block, True):
-                    yield batch
+                r, base = np.frombuffer(data, _U), key * block
+                split = min(max(n1 - base, 0), len(r))
+                for kind, values, to in ((1, r[:split], base), (2, r[split:], base + split - n1)):
+                    if len(values):
+                        pos = 3 * (to + np.arange(len(values))) + kind
+                        for k in range(max(0, (int(pos[0]) - 1) // block - 1), int(pos[-1]) // block + 1):
+                            lo, hi = np.searchsorted(pos, [k * block, (k + 1) * block + 2])
+                            if lo < hi:
+                                yield _rows([k], [values[lo:hi].tobytes()]).add_column(1, "at", pa.array([int(pos[lo])], pa.int64()))
 
     def align(key: int, rows: dict[str, list]) -> Blobs:
-        at = next(i for i, kind in enumerate(rows["kind"]) if kind == 0)
+        at = next(i for i, a in enumerate(rows["at"]) if a is None)
         v = np.frombuffer(rows["data"][at], _U)
-        rank = _place([d for d, kind in zip(rows["data"], rows["kind"], strict=True) if kind == 1], key, block)
+        rank = np.zeros(len(v), _U)
+        for first, data in zip(rows["at"], rows["data"], strict=True):
+            if first is not None:
+                i, x = first - key * block, np.frombuffer(data, _U)
+                x = x[: -(-(len(v) - i) // 3)]
+                rank[i : i + 3 * len(x) : 3] = x
         size = len(v) - 2
         pos = key * block + np.arange(size)
-        grams = np.frombuffer(rows["grams"][at], _U) if more else np.zeros(size, _U)
-        order = np.lexsort((v[2:], v[1:-1], v[:-2]))
-        e = _edges([v[order], v[order + 1], v[order + 2]], splitters)
+        kind = pos % 3
+        p = slices_of(kind, rank[:-2], v[:-2], rank[1:-1], splitters)
+        order = np.argsort(p, kind="stable")
         # of each class what its comparisons need
-        cols = [v[order], v[order + 1], rank[order + 1], rank[order + 2], rank[order], pos[order].astype(_U), *([grams[order]] if more else [])]
-        kind = (pos % 3)[order]
-        for p in np.flatnonzero(np.diff(e)).tolist():
-            cut_ = slice(e[p], e[p + 1])
-            k = kind[cut_]
-            three = [np.stack([cols[c][cut_][k == i] for c in use]) for i, use in enumerate(_USED if not more else [[*u, 6] for u in _USED])]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in three)], names=["key", "c0", "c1", "c2"])
+        cols = [v[:-2], v[1:-1], rank[1:-1], rank[2:], rank[:-2], pos.astype(_U), *([np.frombuffer(rows["grams"][at], _U)] if more else [])]
+        cols, kind, p = [c[order] for c in cols], kind[order], p[order]
+        head = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        for s, e in zip(head.tolist(), [*head[1:].tolist(), size], strict=True):
+            three = [np.stack([cols[c][s:e][kind[s:e] == i] for c in use]) for i, use in enumerate(_USED if not more else [[*u, 6] for u in _USED])]
+            yield pa.RecordBatch.from_arrays([pa.array([p[s]], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in three)], names=["key", "c0", "c1", "c2"])
 
     def finished(p: int, rows: dict[str, list]) -> Blobs:
         zero, one, two = (np.concatenate([np.frombuffer(x, _U).reshape(len(_USED[i]) + more, -1) for x in rows[f"c{i}"]], axis=1) for i in range(3))
-        z = dict(zip(("t0", "t1", "ra", "rb", "pos"), zero, strict=False))
+        z = dict(zip(("t0", "t1", "ra", "rb"), zero, strict=False))
         blank = np.zeros(one.shape[1], _U), np.zeros(two.shape[1], _U)
         s = {
             "t0": np.concatenate([one[0], two[0]]), "t1": np.concatenate([blank[0], two[1]]), "ra": np.concatenate([one[1], blank[1]]), "rb": np.concatenate([blank[0], two[2]]),
-            "own": np.concatenate([one[2], two[3]]), "pos": np.concatenate([one[3], two[4]]), "one": np.arange(one.shape[1] + two.shape[1]) < one.shape[1],
+            "own": np.concatenate([one[2], two[3]]), "one": np.arange(one.shape[1] + two.shape[1]) < one.shape[1],
         }
-        if not more:
-            yield from finish(p, merged(z, s).astype(np.int64), rows)
-            return
-        grams = np.concatenate([zero[-1], one[-1], two[-1]])
-        index = {"pos": np.arange(len(grams))}
-        places = np.concatenate([z["pos"], s["pos"]]).astype(np.int64)
-        m = len(z["pos"])
-        z["pos"], s["pos"] = index["pos"][:m], index["pos"][m:]
+        places = np.concatenate([zero[4], one[3], two[4]]).astype(np.int64)
+        m = zero.shape[1]
+        z["pos"], s["pos"] = np.arange(m), np.arange(m, len(places))
         at = merged(z, s)
-        yield from finish(p, places[at], grams[at])
+        yield from finish(p, places[at], np.concatenate([zero[-1], one[-1], two[-1]])[at] if more else None)
 
-    rank_rows = ranks.select("key", "data").mapInArrow(back, "key bigint, data binary").select("key", F.lit(1).alias("kind"), "data", F.lit(None).cast("binary").alias("grams"))
-    own = string.select("key", F.lit(0).alias("kind"), "data", "grams" if more else F.lit(None).cast("binary").alias("grams"))
-    sent = _by_key(own.unionByName(rank_rows), tasks, align, "key bigint, c0 binary, c1 binary, c2 binary")
-    return _by_key(sent, max(tasks, len(splitters) + 1), finished, "key bigint, data binary")
+    none = F.lit(None)
+    rank_rows = ranks.select("key", "data").mapInArrow(back, "key bigint, at bigint, data binary").withColumn("grams", none.cast("binary"))
+    own = string.select("key", none.cast("bigint").alias("at"), "data", "grams" if more else none.cast("binary").alias("grams"))
+    sent = _by_key(own.unionByName(rank_rows), -(-n // block), tasks, align, "key bigint, c0 binary, c1 binary, c2 binary")
+    return _by_key(sent, len(splitters[0]) + 1, tasks, finished, ORDERED)
 
 
 #: Columns sent for classes 0, 1 and 2, out of t0, t1, rank+1, rank+2, own rank, place.
 _USED = [[0, 1, 2, 3, 5], [0, 2, 4, 5], [0, 1, 3, 4, 5]]
 
 
+def _ordered(kind: int, low: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), batch.column(0), pa.array([low], pa.int64()), batch.column(1)], names=["kind", "key", "low", "data"])
+
+
 def _rank_out(block: int):
     def finish(p: int, pos: np.ndarray, _: object) -> Blobs:
         rank = (_U(p) << _U(40)) + np.arange(1, len(pos) + 1, dtype=_U)
-        yield from _to_blocks(pos, rank, block, False)
+        for batch in _to_blocks(pos, rank, block):
+            yield _ordered(0, 0, batch)
 
     return finish
 
 
-def order(string: DataFrame, n: int, block: int, local: int, tasks: int, finish: Callable | None = None) -> DataFrame:
+def order(string: DataFrame, n: int, block: int, local: int, slice_: int, tasks: int, finish: Callable | None = None) -> DataFrame:
     """(key, data): ranks of the suffixes in each block; or with finish, what it makes of the
     order. string: its blocks, symbols from 1, the last of them unique."""
     spark = string.sparkSession
     if n <= local and finish is None:
         return cut(_local(string, n, block))
-    splitters = _splitters(string, n, -(-n // block))
     half = (n + 1) // 3 + n // 3
-
-    named = cut(_names(string, n, block, tasks, splitters))
-    again = named.agg(F.coalesce(F.sum("again"), F.lit(0))).first()[0]
-    nxt = cut(_string(named.select("key", "data"), half, block, tasks))
-    _release(spark, named)
-    if again:
-        ranks = order(nxt, half, block, local, tasks)
+    names = cut(_names(string, block, tasks, _splitters(string, n, -(-n // block), slice_)))
+    distinct = names.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    nxt = cut(_named(string, names, n, block, tasks))
+    _release(spark, names)
+    if distinct < half:
+        ranks = order(nxt, half, block, local, slice_, tasks)
         _release(spark, nxt)
     else:  # the names are ranks
         def plain(batches: Blobs) -> Blobs:
@@ -352,15 +460,15 @@ def order(string: DataFrame, n: int, block: int, local: int, tasks: int, finish:
 
         ranks = nxt.select("key", "data").mapInArrow(plain, "key bigint, data binary")
     if finish is not None:
-        out = cut(_merge(string, ranks, n, block, tasks, splitters, finish, True))
+        out = cut(_merge(string, ranks, n, block, slice_, tasks, finish, True))
     else:
-        pairs = _merge(string, ranks, n, block, tasks, splitters, _rank_out(block), False)
+        pairs = _merge(string, ranks, n, block, slice_, tasks, _rank_out(block), False)
 
         def flat(key: int, rows: dict[str, list]) -> Blobs:
             yield _rows([key], [_place(rows["data"], key, block)[: min(block, n - key * block)].tobytes()])
 
-        out = cut(_by_key(pairs, tasks, flat, "key bigint, data binary"))
-    _release(spark, ranks if again else nxt)
+        out = cut(_by_key(pairs.select("key", "data"), -(-n // block), tasks, flat, "key bigint, data binary"))
+    _release(spark, ranks if distinct < half else nxt)
     return out
 
 
@@ -488,19 +596,43 @@ def _assemble(n: int, block: int):
 
 
 def _runs(block: int):
-    """Of neighbours with equal prefixes the earliest stays; (place, earliest) of the others."""
+    """Of neighbours with equal prefixes the earliest stays: (place, earliest) of the others, kind 0.
+    Runs at the ends of a slice may go on in the next: their places, kind 1, by their hash."""
 
     def finish(p: int, pos: np.ndarray, grams: np.ndarray) -> Blobs:
         new = np.ones(len(pos), bool)
         new[1:] = (grams[1:] != grams[:-1]) | (grams[1:] == 0)
-        head = np.flatnonzero(new)
-        first = np.repeat(np.minimum.reduceat(pos, head), np.diff(np.append(head, len(pos)))) if len(pos) else pos
-        gone = first != pos
-        yield from _to_blocks(pos[gone], first[gone].astype(_U), block, False)
+        head = np.append(np.flatnonzero(new), len(pos))
+        for i in {0, len(head) - 2}:
+            run = pos[head[i] : head[i + 1]]
+            if grams[head[i]]:
+                yield _ordered(1, int(run.min()), _rows([int(grams[head[i] : head[i] + 1].view(np.int64)[0])], [run.tobytes()]))
+        pos, head = pos[head[1] : head[-2]], head[1:-1] - head[1]
+        if len(pos):
+            first = np.repeat(np.minimum.reduceat(pos, head[:-1]), np.diff(head))
+            gone = first != pos
+            for batch in _to_blocks(pos[gone], first[gone].astype(_U), block):
+                yield _ordered(0, 0, batch)
 
     return finish
 
 
+def _gone(found: DataFrame, block: int) -> DataFrame:
+    """(key, data): pairs of removable places and the earliest of their run, by block."""
+    ends = found.where("kind = 1").select("key", "low", "data")
+
+    def run(batches: Blobs) -> Blobs:
+        for b in batches:
+            for low, data in zip(b.column("least").to_pylist(), b.column("data").to_pylist(), strict=True):
+                pos = np.frombuffer(data, np.int64)
+                pos = pos[pos != low]
+                yield from _to_blocks(pos, np.full(len(pos), low, _U), block)
+
+    lows = ends.groupBy("key").agg(F.min("low").alias("least"))  # two for each slice at most
+    across = ends.join(small(lows), "key").select("least", "data").mapInArrow(run, "key bigint, data binary")
+    return found.where("kind = 0").select("key", "data").unionByName(across)
+
+
 def _spans(least: int):
     """Consecutive removable places of a block joined to one span (start, stop, like)."""
 
@@ -532,7 +664,7 @@ def _characters(batches: Blobs) -> Blobs:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start_char", "end_char", "like_doc_id"])
 
 
-def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, block: int = BLOCK, local: int = LOCAL) -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, block: int = BLOCK, local: int = LOCAL, slice_: int = SLICE) -> DataFrame:
     """(doc_id, start_char, end_char, like_doc_id): every stretch made of runs of least words that
     occur earlier in the corpus, with a document that has its beginning earlier."""
     spark = docs.sparkSession
@@ -577,11 +709,11 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM, blo
     once = once.dropDuplicates(["k1", "k2"])
     symbols, pieces = _cut_by_kind(once.select("base", "stretches", "text").mapInArrow(_symbols(least, block), "kind int, base bigint, key bigint, at bigint, data binary, grams binary, lo binary, hi binary"))
     _release(spark, marks)
-    string = cut(_by_key(pieces.select("key", "at", "data", "grams"), tasks, _assemble(n, block), "key bigint, data binary, grams binary"))
+    string = cut(_by_key(pieces.select("key", "at", "data", "grams"), -(-n // block), tasks, _assemble(n, block), "key bigint, data binary, grams binary"))
     _release(spark, pieces)
-    gone = order(string, n, block, local, tasks, _runs(block))
+    gone = order(string, n, block, local, slice_, tasks, _runs(block))
     _release(spark, string)
-    spans = _by_key(gone, tasks, _spans(least), "start bigint, stop bigint, like bigint")
+    spans = _by_key(_gone(gone, block), -(-n // block), tasks, _spans(least), "start bigint, stop bigint, like bigint")
 
     # from places to documents, by small ranges of places
     step = 4096

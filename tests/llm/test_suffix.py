@@ -49,14 +49,37 @@ def corpus(seed: int, n: int, vocab: int) -> list[tuple]:
     return docs
 
 
-@pytest.mark.parametrize("seed,vocab", [(1, 50), (2, 1), (3, 10_000)])
-def test_against_brute_force(spark, seed, vocab):
+@pytest.mark.parametrize("seed,vocab,slice_", [(1, 50, 1 << 19), (2, 1, 64), (3, 10_000, 64), (1, 50, 200)])
+def test_against_brute_force(spark, seed, vocab, slice_):
     docs = corpus(seed, 40, vocab)
     docs += [(500, docs[3][1]), (501, docs[3][1]), (7, docs[4][1] + " "), (None, docs[5][1]), (None, None), (900, ""), (docs[8]), (901, "x " * 300)]
-    got = suffix.repeated_passages(spark.createDataFrame(docs, DOCS), least=6, gram=3, block=128, local=100).collect()
+    got = suffix.repeated_passages(spark.createDataFrame(docs, DOCS), least=6, gram=3, block=128, local=100, slice_=slice_).collect()
     assert sorted(map(tuple, got), key=str) == brute(docs, 6)
 
 
+def test_one_passage_in_most_of_the_corpus(spark):
+    """Runs longer than a slice, and a very long text."""
+    rng = random.Random(6)
+    hot = " ".join(f"h{i}" for i in range(9))
+    docs = [(i, f"a{i} b{i} {hot} c{i}") for i in range(120)] + [(500, " ".join(rng.choice([hot, "q r", f"z{rng.randrange(9)}"]) for _ in range(300)))]
+    for local in (50, 10_000):
+        got = suffix.repeated_passages(spark.createDataFrame(docs, DOCS), least=6, gram=3, block=100, local=local, slice_=64).collect()
+        assert sorted(map(tuple, got), key=str) == brute(docs, 6)
+
+
+def test_slices_are_even_whatever_repeats():
+    rng = np.random.default_rng(2)
+    for v in (np.ones(3000, np.uint64), rng.integers(1, 3, 3000).astype(np.uint64)):
+        v = np.append(v, np.uint64(9))
+        rank = np.zeros(len(v) + 2, np.uint64)
+        rank[: len(v)] = suffix.doubled(v)
+        pos = np.arange(len(v))
+        some = np.sort(rng.choice(pos[(pos % 3 == 1) & (pos + 1 < len(v))], 15, replace=False))
+        some = some[np.argsort(rank[some])]
+        got = suffix.slices_of(pos % 3, np.where(pos % 3 == 0, 0, rank[:-2]).astype(np.uint64), v, rank[1:-1], (rank[some], v[some], rank[some + 1]))
+        assert got.tolist() == np.searchsorted(rank[some], rank[: len(v)], "right").tolist()
+
+
 def test_ranks_of_suffixes():
     rng = np.random.default_rng(5)
     for n in (1, 2, 3, 50, 400):
