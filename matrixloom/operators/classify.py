@@ -83,14 +83,16 @@ def fit(heads: DataFrame, min_examples: int = 2, min_score: float = 0.55, min_ma
     return TaskClassifier(examples, counts, min_examples, min_score, min_margin, exact)
 
 
-def classify(prompts: DataFrame, model: TaskClassifier, explicit: bool = True) -> DataFrame:
-    """(prompt_id, task, evidence_score, abstained, reason) of rows with prompt_id, prompt, task.
+def classify(prompts: DataFrame, model: TaskClassifier, explicit: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """(prompt_id, task, evidence_score, abstained, reason) of rows with prompt_id, prompt, task, and
+    the columns to keep.
 
     A task that is given decides alone if explicit; else the classifier does. One join to the
     buckets, each with the logarithms for all tasks in an array, and one aggregation by prompt.
     """
     spark = prompts.sparkSession
-    p = prompts.select("prompt_id", F.col("prompt"), (F.col("task") if explicit else F.lit(None).cast("string")).alias("given"))
+    keep = keep or []
+    p = prompts.select("prompt_id", F.col("prompt"), (F.col("task") if explicit else F.lit(None).cast("string")).alias("given"), *keep)
     words = tokens_exactly(F.col("prompt")) if model.exact else tokens(F.col("prompt"))
     k = len(model.tasks)
     space = sorted({b for c in model.counts.values() for b in c})
@@ -105,12 +107,12 @@ def classify(prompts: DataFrame, model: TaskClassifier, explicit: bool = True) -
     ladder = ladder.when(F.col("given").isNotNull(), result(unknown, F.lit(0.0), True, F.format_string("explicit task '%s' is unknown", "given")))
     if not k:
         ladder = ladder.otherwise(result(unknown, F.lit(0.0), True, F.lit("no supported tasks in training data")))
-        return p.select("prompt_id", ladder.alias("r")).select("prompt_id", "r.*")
+        return p.select("prompt_id", *keep, ladder.alias("r")).select("prompt_id", *keep, "r.*")
     p = p.withColumn("n_tokens", F.coalesce(F.size(words), F.lit(0)))
     ladder = ladder.when(F.col("n_tokens") == 0, result(unknown, F.lit(0.0), True, F.lit("prompt has no classifiable tokens")))
     if not space:
         ladder = ladder.otherwise(result(unknown, F.lit(0.0), True, F.lit("classifier feature space is empty")))
-        return p.select("prompt_id", ladder.alias("r")).select("prompt_id", "r.*")
+        return p.select("prompt_id", *keep, ladder.alias("r")).select("prompt_id", *keep, "r.*")
 
     denominators = [sum(model.counts[t].values()) + len(space) for t in model.tasks]
     priors = [log(model.examples[t] / sum(model.examples.values())) for t in model.tasks]
@@ -133,4 +135,4 @@ def classify(prompts: DataFrame, model: TaskClassifier, explicit: bool = True) -
     ladder = ladder.when(F.col("score") < model.min_score, result(unknown, F.col("score"), True, F.format_string("evidence score %.3f is below %.3f", F.col("score"), F.lit(model.min_score))))
     ladder = ladder.when(margin < model.min_margin, result(unknown, F.col("score"), True, F.format_string("evidence margin %.3f is below %.3f", margin, F.lit(model.min_margin))))
     ladder = ladder.otherwise(result(F.col("winner"), F.col("score"), False, F.lit("hashed-feature evidence exceeded thresholds")))
-    return p.select("prompt_id", ladder.alias("r")).select("prompt_id", "r.*")
+    return p.select("prompt_id", *keep, ladder.alias("r")).select("prompt_id", *keep, "r.*")

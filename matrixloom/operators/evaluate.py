@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,25 +11,55 @@ from matrixloom.functions.stats import bootstrap_mersenne, stable_mean
 DRAWS = (("quality", 0), ("quality_loss", 1), ("cost_usd", 2), ("latency", 3))
 
 
-def chosen_rows(assignments: DataFrame, obs: DataFrame, reference: str, traced: bool) -> DataFrame:
-    """Each assignment (baseline, prompt_id, model) with its row of the matrix: quality, loss
-    against the reference, cost, latency with the load of a model that was not resident, regret
-    against the best of the prompt, and whether it switched.
+_MEASURED = ("quality", "latency_ms", "cost_usd", "load_ms")
 
-    The matrix is shuffled once, by prompt, for the join and both windows over a prompt.
-    """
-    w = Window.partitionBy("prompt_id")
-    rows = obs.select("prompt_id", "model", "trace_id", "sequence_index", "quality", "latency_ms", "cost_usd", "load_ms")
-    rows = rows.withColumn("q_ref", F.max(F.when(F.col("model") == reference, F.col("quality"))).over(w)).withColumn("q_best", F.max("quality").over(w))
-    out = assignments.join(rows, ["prompt_id", "model"])
+
+def prompt_results(obs: DataFrame, reference: str) -> DataFrame:
+    """One row for each prompt: its head, the results of all its models as a map, and the quality of
+    the reference and of the best model."""
+    rows = obs.groupBy("prompt_id").agg(
+        *[F.any_value(c).alias(c) for c in ("task", "trace_id", "sequence_index") if c in obs.columns],
+        F.map_from_entries(F.collect_list(F.struct("model", F.struct(*_MEASURED)))).alias("results"),
+    )
+    best = F.array_max(F.transform(F.map_values("results"), lambda x: x["quality"]))
+    return rows.withColumn("q_ref", F.try_element_at("results", F.lit(reference))["quality"]).withColumn("q_best", best)
+
+
+def _charged(rows: DataFrame, traced: bool) -> DataFrame:
+    """Picks with their result as r: what they cost, lose and regret, and the load of a model that
+    was not resident."""
+    r = F.col("r")
     if traced:
-        t = Window.partitionBy("baseline", "trace_id").orderBy("sequence_index")
-        out = out.withColumn("prev", F.lag("model").over(t))
-        charge = F.when(F.col("prev").isNull() | (F.col("prev") != F.col("model")), F.col("load_ms")).otherwise(0.0)
+        prev = F.lag("model").over(Window.partitionBy("baseline", "trace_id").orderBy("sequence_index"))
+        rows = rows.withColumn("prev", prev)
+        charge = F.when(F.col("prev").isNull() | (F.col("prev") != F.col("model")), r["load_ms"]).otherwise(0.0)
         switched = (F.col("prev").isNotNull() & (F.col("prev") != F.col("model"))).cast("int")
     else:
         charge, switched = F.lit(0.0), F.lit(None).cast("int")
-    return out.select("baseline", "prompt_id", "model", "trace_id", "sequence_index", "covered", "quality", (F.col("q_ref") - F.col("quality")).alias("quality_loss"), "cost_usd", (F.col("latency_ms") + charge).alias("latency"), (F.col("q_best") - F.col("quality")).alias("regret"), switched.alias("switched"))
+    return rows.select("baseline", "prompt_id", "model", "trace_id", "sequence_index", "covered", r["quality"].alias("quality"), (F.col("q_ref") - r["quality"]).alias("quality_loss"), r["cost_usd"].alias("cost_usd"), (r["latency_ms"] + charge).alias("latency"), (F.col("q_best") - r["quality"]).alias("regret"), switched.alias("switched"))
+
+
+def chosen_picks(prompts: DataFrame, picks: dict[str, Column], traced: bool) -> DataFrame:
+    """chosen_rows() for strategies that are expressions over prompt_results() with what was joined to
+    it: no join, as every pick is looked up in the map of its prompt."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("baseline"), v.alias("model")) for k, v in picks.items()]))
+    rows = prompts.select("prompt_id", "trace_id", "sequence_index", "q_ref", "q_best", "results", each.alias("x"))
+    r = F.try_element_at("results", F.col("x.model"))
+    rows = rows.select("x.baseline", "prompt_id", "x.model", "trace_id", "sequence_index", F.lit(True).alias("covered"), "q_ref", "q_best", r.alias("r"))
+    return _charged(rows.where("r is not null"), traced)
+
+
+def chosen_rows(assignments: DataFrame, obs: DataFrame, reference: str, traced: bool) -> DataFrame:
+    """Each assignment (baseline, prompt_id, model, covered) with its row of the matrix: quality,
+    loss against the reference, cost, latency with the load of a model that was not resident, regret
+    against the best of the prompt, and whether it switched.
+
+    The matrix is shuffled once, by prompt, and meets the assignments by prompt.
+    """
+    rows = assignments.join(prompt_results(obs, reference), "prompt_id")
+    r = F.try_element_at("results", F.col("model"))
+    rows = rows.select("baseline", "prompt_id", "model", "trace_id", "sequence_index", "covered", "q_ref", "q_best", r.alias("r"))
+    return _charged(rows.where("r is not null"), traced)
 
 
 def compare(chosen: DataFrame) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matrixloom.operators.classify import UNKNOWN, TaskClassifier, classify
@@ -122,62 +123,115 @@ def decide(policy: Policy, task: str, score: float, abstained: bool, why: str, w
     return out(rule.model, task, False, False, f"{rule.reason}; a gain of {gain:.2f} ms is worth loading for {penalty:.2f} ms", penalty)
 
 
+_NAMES = [x.split()[0] for x in DECISION.split(", ")]
+#: A warm model that no metrics are known of; all such are decided alike.
+_ELSEWHERE = "\0elsewhere"
+
+
+def decisions(spark: SparkSession, policy: Policy, switch_cost: float = 0.0) -> DataFrame:
+    """(on_task, on_warm, and DECISION) of every routed task and warm model, none and one outside the
+    pool included: tasks x models rows, as many as the policy itself has."""
+    rows = []
+    for task in policy.routes:
+        for warm in (None, *policy.pool, _ELSEWHERE):
+            rows.append((task, warm or "", *decide(policy, task, 1.0, False, "", warm, switch_cost)))
+    return spark.createDataFrame(rows, "on_task string, on_warm string, " + DECISION)
+
+
 def route_batch(prompts: DataFrame, policy: Policy, switch_cost: float = 0.0) -> DataFrame:
     """Decisions for rows of prompt_id, prompt, task, warm_model: rows don't depend on each other.
 
-    Only the distinct combinations of task and warm model are decided in Python; they are as few
-    as tasks x models, and are joined back.
+    Routed tasks meet the table of all decisions; abstentions are written out as expressions. No
+    row passes through Python.
     """
-    c = classify(prompts, policy.classifier).join(prompts.select("prompt_id", "warm_model"), "prompt_id")
-
-    def frames(batches):
-        for pdf in batches:
-            rows = [decide(policy, t, s, a, r, w if isinstance(w, str) else None, switch_cost) for t, s, a, r, w in zip(pdf["task"], pdf["evidence_score"], pdf["abstained"], pdf["reason"], pdf["warm_model"], strict=True)]
-            names = [x.split()[0] for x in DECISION.split(", ")]
-            yield pd.concat([pdf[["prompt_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
-
-    return c.mapInPandas(frames, "prompt_id string, " + DECISION)
+    c = classify(prompts, policy.classifier, keep=["warm_model"])
+    routed = ~F.col("abstained") & F.col("task").isin(list(policy.routes))
+    warm = F.when(F.col("warm_model").isNull(), "").when(F.col("warm_model").isin(list(policy.pool)), F.col("warm_model")).otherwise(_ELSEWHERE)
+    table = decisions(prompts.sparkSession, policy, switch_cost).withColumnsRenamed({n: f"d_{n}" for n in _NAMES})
+    c = c.withColumn("on_task", F.when(routed, F.col("task"))).withColumn("on_warm", warm).join(F.broadcast(table), ["on_task", "on_warm"], "left")
+    task = F.when(F.col("abstained"), F.col("task")).otherwise(UNKNOWN)
+    why = F.when(F.col("abstained"), F.col("reason")).otherwise("classified task has no route")
+    seen = policy.metrics.get(GLOBAL, {}).get(policy.fallback)
+    expected = {t: policy.metrics_for(t, policy.fallback) for t in (*policy.metrics, UNKNOWN)}
+
+    def of(field: str) -> Column:
+        out = F.lit(getattr(seen, field) if seen else None).cast("double")
+        for t, m in expected.items():
+            if m is not None and m != seen:
+                out = F.when(task == t, getattr(m, field)).otherwise(out)
+        return out
+
+    fallback = {
+        "model": F.lit(policy.fallback), "task": task, "evidence_score": F.col("evidence_score"), "abstained": F.lit(True), "used_warm_model": F.coalesce(F.col("warm_model") == policy.fallback, F.lit(False)), "fallback_model": F.lit(policy.fallback),
+        "reason": F.concat(F.lit("abstained to strongest fallback: "), why), "expected_quality": of("quality"), "expected_latency_ms": of("latency_ms"), "expected_cost_usd": of("cost_usd"), "switch_penalty_ms": F.lit(0.0),
+    }
+    known = F.col("d_model").isNotNull()
+    return c.select("prompt_id", *[F.when(known, F.col("evidence_score" if n == "evidence_score" else f"d_{n}")).otherwise(fallback[n]).alias(n) for n in _NAMES])
+
+
+def _in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """Traces whole and in order, for one pass that holds no more than the state of a trace."""
+    return rows.repartition(keys[0]).sortWithinPartitions(*keys)
 
 
 def warm_fold(classified: DataFrame, policy: Policy, switch_cost: float = 0.0) -> DataFrame:
     """(prompt_id, decision) with the model of a prompt warm for the next one of its trace.
 
     classified: what classify() gives, with trace_id and sequence_index. The fold is sequential
-    within a trace and parallel over traces.
+    within a trace and parallel over traces; equal situations are decided once.
     """
-    names = [x.split()[0] for x in DECISION.split(", ")]
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sequence_index", "prompt_id"], ignore_index=True)
-        warm, rows = None, []
-        for t, s, a, r in zip(pdf["task"], pdf["evidence_score"], pdf["abstained"], pdf["reason"], strict=True):
-            rows.append(decide(policy, t, s, a, r, warm, switch_cost))
-            warm = rows[-1][0]
-        return pd.concat([pdf[["prompt_id"]], pd.DataFrame(rows, columns=names)], axis=1)
-
-    return classified.groupBy("trace_id").applyInPandas(trace, "prompt_id string, " + DECISION)
-
-
-def warm_columns(rows: DataFrame, budget: float, fallback_quality: str = "q_fallback", trace: str = "trace_id", order: str = "sequence_index", keep: str = "prompt_id") -> DataFrame:
-    """The same fold in generated code, for rows that carry routed, abstained, the fallback and a
-    map `metrics` of model to (quality, latency_ms, load_ms): (trace, order, keep, model).
 
-    The trace's rows are one array, folded by aggregate(); fit for traces of up to some thousand
-    prompts, beyond which warm_fold() is linear where this copies.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}
+        trace, warm = None, None
+        for b in batches:
+            cols = [b.column(n).to_pylist() for n in ("trace_id", "task", "abstained", "reason", "evidence_score")]
+            rows = []
+            for at, task, abstained, why, score in zip(*cols, strict=True):
+                if at != trace:
+                    trace, warm = at, None
+                key = (task, abstained, why if abstained else None, warm)
+                got = known.get(key)
+                if got is None:
+                    got = known[key] = decide(policy, task, score, abstained, why, warm, switch_cost)
+                    if len(known) > 100_000:
+                        known.clear()
+                rows.append((*got[:2], score, *got[3:]))
+                warm = got[0]
+            if rows:
+                kinds = [pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), *[pa.float64()] * 4]
+                yield pa.RecordBatch.from_arrays([b.column("prompt_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["prompt_id", *_NAMES])
+
+    return _in_order(classified, "trace_id", "sequence_index", "prompt_id").mapInArrow(run, "prompt_id string, " + DECISION)
+
+
+def warm_scan(rows: DataFrame, steps: list[tuple[str, frozenset[str]]], trace: str = "trace_id", order: str = "sequence_index", keep: str = "prompt_id") -> DataFrame:
+    """(trace, order, keep, model): the same fold for rows that carry the number of their step, as few
+    as tasks: the model it routes to, and the warm models that are kept instead.
+
+    One pass over sorted rows, linear in a trace of any length.
     """
-    item = F.struct(F.col(order).alias("seq"), F.col(keep).alias("id"), "routed", "abstained", "fallback", F.col(fallback_quality).alias("qf"), "metrics")
-    by = rows.groupBy(trace).agg(F.collect_list(item).alias("items"))
-    steps = F.array_sort("items", lambda a, b: (a["seq"] - b["seq"]).cast("int"))
-
-    def step(acc, x):
-        warm, sel = acc["warm"], x["routed"]
-        held, chosen = F.try_element_at(x["metrics"], warm), F.try_element_at(x["metrics"], sel)
-        ok = held["quality"] + EPSILON >= x["qf"] - budget
-        cheap = chosen["load_ms"] + EPSILON >= F.greatest(F.lit(0.0), held["latency_ms"] - chosen["latency_ms"])
-        keep_warm = warm.isNotNull() & (warm != sel) & held.isNotNull() & chosen.isNotNull() & ok & cheap
-        model = F.when(x["abstained"], x["fallback"]).when(F.coalesce(keep_warm, F.lit(False)), warm).otherwise(sel)
-        return F.struct(model.alias("warm"), F.concat(acc["out"], F.array(F.struct(x["seq"].alias(order), x["id"].alias(keep), model.alias("model")))).alias("out"))
-
-    kind = f"array<struct<{order}: {dict(rows.dtypes)[order]}, {keep}: {dict(rows.dtypes)[keep]}, model: string>>"
-    start = F.struct(F.lit(None).cast("string").alias("warm"), F.array().cast(kind).alias("out"))
-    return by.select(trace, F.explode(F.aggregate(steps, start, step, lambda a: a["out"])).alias("x")).select(trace, "x.*")
+    types = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, warm = None, None
+        for b in batches:
+            out = []
+            for t, k in zip(b.column(trace).to_pylist(), b.column("step").to_pylist(), strict=True):
+                if t != at:
+                    at, warm = t, None
+                model, kept = steps[k]
+                if warm not in kept:
+                    warm = model
+                out.append(warm)
+            yield pa.RecordBatch.from_arrays([b.column(trace), b.column(order), b.column(keep), pa.array(out, pa.string())], names=[trace, order, keep, "model"])
+
+    ordered = _in_order(rows.select(trace, order, keep, "step"), trace, order, keep)
+    return ordered.mapInArrow(run, f"{trace} {types[trace]}, {order} {types[order]}, {keep} {types[keep]}, model string")
+
+
+def kept_models(metrics: dict[str, Metrics], routed: str, fallback: str, budget: float) -> frozenset[str]:
+    """Warm models of a task that are kept rather than the routed one loaded."""
+    chosen = metrics[routed]
+    floor = metrics[fallback].quality - budget
+    return frozenset(m for m, x in metrics.items() if m != routed and x.quality + EPSILON >= floor and chosen.load_ms + EPSILON >= max(0.0, x.latency_ms - chosen.latency_ms))

@@ -46,7 +46,7 @@ def _options(budget: float, objective: str) -> None:
 def _classified(part: DataFrame, policy: Policy) -> DataFrame:
     """A task counts only where there is no prompt text."""
     h = heads(part).withColumn("task", F.when(F.col("prompt").isNull(), F.col("task")))
-    return cl.classify(h, policy.classifier).join(h.select("prompt_id", "trace_id", "sequence_index"), "prompt_id")
+    return cl.classify(h, policy.classifier, keep=["trace_id", "sequence_index"])
 
 
 def _loss(part: DataFrame, policy: Policy) -> float:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -252,13 +252,30 @@ def pareto_pool(spark, sf_dir):
     return metrics.pareto_pool(metrics.aggregate_metrics(observations(spark, sf_dir)))
 
 
+def _means(obs: DataFrame) -> tuple[DataFrame, Row]:
+    """Means over the whole matrix, gathered once (tasks x models rows), and the extreme models."""
+    found = metrics.aggregate_metrics(obs)
+    means = obs.sparkSession.createDataFrame(found.collect(), found.schema)
+    return means, metrics.extremes(means).first()
+
+
 def _strongest(obs: DataFrame) -> str:
-    return metrics.extremes(metrics.aggregate_metrics(obs)).first().strongest
+    return _means(obs)[1].strongest
+
+
+def _rules(means: DataFrame, best: str, budget: float, objective: str = "cost") -> dict[str, str]:
+    return {r.task: r.model for r in metrics.choose(means.where("scope = 'task'"), ["task"], best, budget, objective).collect()}
+
+
+def _of_task(rules: dict[str, str], default: str | None = None) -> F.Column:
+    """The model of a row's task; as many branches as there are tasks."""
+    known = F.create_map(*[F.lit(x) for kv in sorted(rules.items()) for x in kv])
+    return F.coalesce(F.try_element_at(known, F.col("task")), F.lit(default))
 
 
 def _routes(spark: SparkSession, sf_dir: str, objective: str) -> DataFrame:
-    obs = observations(spark, sf_dir)
-    return metrics.choose(metrics.task_model_means(obs), ["task"], _strongest(obs), 0.02, objective)
+    means, e = _means(observations(spark, sf_dir))
+    return metrics.choose(means.where("scope = 'task'").drop("scope"), ["task"], e.strongest, 0.02, objective)
 
 
 @query(OBS + GLOBAL + _routes_sql("r", "t", "task", "cost") + " SELECT task, model FROM r")
@@ -285,24 +302,21 @@ def oracle_assign(spark, sf_dir):
 @query(OBS + GLOBAL + _routes_sql("r", "t", "task", "cost") + " SELECT DISTINCT o.prompt_id, coalesce(r.model, (SELECT strongest FROM best)) AS model FROM obs o LEFT JOIN r ON o.task = r.task")
 def task_only_assign(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    best = _strongest(obs)
-    r = metrics.choose(metrics.task_model_means(obs), ["task"], best, 0.02, "cost")
-    return validate.heads(obs).join(r, "task", "left").select("prompt_id", F.coalesce("model", F.lit(best)).alias("model"))
+    means, e = _means(obs)
+    return validate.heads(obs).select("prompt_id", _of_task(_rules(means, e.strongest, 0.02), e.strongest).alias("model"))
 
 
 # --- strategies ---------------------------------------------------------------------------------
 
 
-def _assignments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
-    """Six strategies over the whole matrix, the matrix, and the reference model."""
+def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What six strategies choose over the whole matrix, which is read twice: for the means, and
+    with one shuffle by prompt for the choices."""
     obs = observations(spark, sf_dir)
-    e = metrics.extremes(metrics.aggregate_metrics(obs)).first()
-    h = validate.heads(obs)
-    r = metrics.choose(metrics.task_model_means(obs), ["task"], e.strongest, 0.02, "cost").withColumnRenamed("model", "rule")
-    h = h.join(r, "task", "left")
-    picks = {"always-strongest": F.lit(e.strongest), "always-cheapest": F.lit(e.cheapest), "always-fastest": F.lit(e.fastest), "random": hashing.hash_choice(F.col("prompt_id"), ["m0", "m1", "m2"], 42), "task-only": F.coalesce("rule", F.lit(e.strongest)), "warm-only": F.lit(e.strongest)}
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("baseline"), v.alias("model")) for k, v in picks.items()]))
-    return h.select("prompt_id", each.alias("x")).select("x.baseline", "prompt_id", "x.model", F.lit(True).alias("covered")), obs, e.strongest
+    means, e = _means(obs)
+    fixed = {"always-strongest": e.strongest, "always-cheapest": e.cheapest, "always-fastest": e.fastest, "warm-only": e.strongest}
+    picks = {k: F.lit(v) for k, v in fixed.items()} | {"random": hashing.hash_choice(F.col("prompt_id"), ["m0", "m1", "m2"], 42), "task-only": _of_task(_rules(means, e.strongest, 0.02), e.strongest)}
+    return evaluate.chosen_picks(evaluate.prompt_results(obs, e.strongest), picks, True)
 
 
 ASG = (
@@ -324,25 +338,25 @@ ASG = (
 
 @query(ASG + " SELECT baseline, prompt_id, round(quality_loss, 9) AS quality_loss FROM c")
 def quality_loss_join(spark, sf_dir):
-    c = evaluate.chosen_rows(*_assignments(spark, sf_dir), True)
+    c = _chosen(spark, sf_dir)
     return c.select("baseline", "prompt_id", F.round("quality_loss", 9).alias("quality_loss"))
 
 
 @query(ASG + " SELECT baseline, round(avg(regret), 9) AS routing_regret FROM c GROUP BY baseline")
 def regret(spark, sf_dir):
-    c = evaluate.compare(evaluate.chosen_rows(*_assignments(spark, sf_dir), True))
+    c = evaluate.compare(_chosen(spark, sf_dir))
     return _rounded(c.select("baseline", "routing_regret"), "routing_regret")
 
 
 @query(ASG + ", n AS (SELECT baseline, model, count(*) AS n FROM c GROUP BY ALL) SELECT baseline, string_agg(model || '=' || n, ',' ORDER BY model) AS model_counts FROM n GROUP BY baseline")
 def model_counts(spark, sf_dir):
-    c = evaluate.model_counts(evaluate.chosen_rows(*_assignments(spark, sf_dir), True))
+    c = evaluate.model_counts(_chosen(spark, sf_dir))
     return c.select("baseline", F.array_join(F.transform(F.map_entries("model_counts"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("model_counts"))
 
 
 @query(ASG + " SELECT baseline, prompt_id, model, latency, switched FROM c")
 def switch_load_penalty(spark, sf_dir):
-    return evaluate.chosen_rows(*_assignments(spark, sf_dir), True).select("baseline", "prompt_id", "model", "latency", "switched")
+    return _chosen(spark, sf_dir).select("baseline", "prompt_id", "model", "latency", "switched")
 
 
 @query(OBS + " SELECT model, " + ", ".join(f"round(quantile_cont(latency_ms, {p}), 9) AS p{int(p * 100)}" for p in (0.05, 0.5, 0.95)) + " FROM obs GROUP BY model")
@@ -356,27 +370,23 @@ _CMP = ("quality", "quality_loss", "cost_usd", "latency_ms", "latency_p50_ms", "
 @query(ASG + """ SELECT baseline, round(avg(quality), 9) AS quality, round(avg(quality_loss), 9) AS quality_loss, round(avg(cost_usd), 9) AS cost_usd, round(avg(latency), 9) AS latency_ms, round(quantile_cont(latency, 0.5), 9) AS latency_p50_ms,
  round(quantile_cont(latency, 0.95), 9) AS latency_p95_ms, CAST(1 AS DOUBLE) AS coverage, round(avg(regret), 9) AS routing_regret, CAST(sum(switched) AS BIGINT) AS switch_count, count(*) AS n_prompts FROM c GROUP BY baseline""")
 def baseline_compare(spark, sf_dir):
-    return _rounded(evaluate.compare(evaluate.chosen_rows(*_assignments(spark, sf_dir), True)), *_CMP)
+    return _rounded(evaluate.compare(_chosen(spark, sf_dir)), *_CMP)
 
 
 @query(ASG + ", s AS (SELECT baseline, string_agg(prompt_id || '>' || model, ',' ORDER BY prompt_id) AS sig FROM asg GROUP BY baseline) SELECT string_agg(baseline, ',' ORDER BY baseline) AS members FROM s GROUP BY sig HAVING count(*) > 1")
 def equivalent_baselines(spark, sf_dir):
-    return evaluate.equivalent(_assignments(spark, sf_dir)[0]).select(F.array_join("members", ",").alias("members"))
+    return evaluate.equivalent(_chosen(spark, sf_dir)).select(F.array_join("members", ",").alias("members"))
 
 
 def _abstains(ident: F.Column) -> F.Column:
     return hashing.unit_hash(ident, 7) < 0.1
 
 
-def _warm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts with their cost route, whether they abstain, and the task's metrics as a map."""
-    obs = observations(spark, sf_dir)
-    best = _strongest(obs)
-    means = metrics.task_model_means(obs)
-    entry = F.struct("model", F.struct("quality", "latency_ms", "load_ms"))
-    table = means.groupBy("task").agg(F.map_from_entries(F.collect_list(entry)).alias("metrics"), F.max(F.when(F.col("model") == best, F.col("quality"))).alias("q_fallback"))
-    table = table.join(metrics.choose(means, ["task"], best, 0.05, "cost").withColumnRenamed("model", "routed"), "task")
-    return validate.heads(obs).join(table, "task").select("prompt_id", "trace_id", "sequence_index", "routed", _abstains(F.col("prompt_id")).alias("abstained"), F.lit(best).alias("fallback"), "q_fallback", "metrics")
+def _task_metrics(means: DataFrame) -> dict[str, dict[str, route.Metrics]]:
+    table: dict[str, dict[str, route.Metrics]] = {}
+    for r in means.collect():
+        table.setdefault(r.task if r.scope == "task" else route.GLOBAL, {})[r.model] = route.Metrics(r.quality, r.latency_ms, r.cost_usd, r.load_ms, r.samples)
+    return table
 
 
 @query(OBS + GLOBAL + _routes_sql("r", "t", "task", "cost", "0.05") + f""", h AS (SELECT DISTINCT prompt_id, task, trace_id, sequence_index FROM obs), p AS (
@@ -390,23 +400,33 @@ def _warm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM fold f JOIN p ON p.trace_id = f.trace_id AND p.sequence_index = f.sequence_index + 1 LEFT JOIN t w ON w.task = p.task AND w.model = f.model
 ) SELECT trace_id, sequence_index, prompt_id, model FROM fold""")
 def warm_hysteresis(spark, sf_dir):
-    return route.warm_columns(_warm_rows(spark, sf_dir), 0.05)
+    obs = observations(spark, sf_dir)
+    means, e = _means(obs)
+    table, rules = _task_metrics(means), _rules(means, e.strongest, 0.05)
+    tasks = sorted(rules)
+    steps = [(e.strongest, frozenset()), *((rules[t], route.kept_models(table[t], rules[t], e.strongest, 0.05)) for t in tasks)]
+    number = F.create_map(*[x for i, t in enumerate(tasks, 1) for x in (F.lit(t), F.lit(i))])
+    step = F.when(_abstains(F.col("prompt_id")), 0).otherwise(F.try_element_at(number, F.col("task")))
+    h = validate.heads(obs).where(F.col("task").isin(tasks))
+    return route.warm_scan(h.withColumn("step", step), steps)
 
 
 @query(OBS + GLOBAL + _routes_sql("r", "t", "task", "cost", "0.05") + f""", h AS (SELECT DISTINCT prompt_id, task FROM obs), a AS (
   SELECT h.prompt_id, CASE WHEN {_unit('h.prompt_id', 7)} < CAST(0.1 AS DOUBLE) THEN strongest ELSE r.model END AS model, strongest FROM h JOIN r ON h.task = r.task CROSS JOIN best)
 SELECT round(avg(f.quality - o.quality), 9) AS development_loss FROM a JOIN obs o ON o.prompt_id = a.prompt_id AND o.model = a.model JOIN obs f ON f.prompt_id = a.prompt_id AND f.model = a.strongest""")
 def dev_loss(spark, sf_dir):
-    rows, obs = _warm_rows(spark, sf_dir), observations(spark, sf_dir)
-    best = _strongest(obs)
-    asg = rows.select(F.lit("policy").alias("baseline"), "prompt_id", F.when(F.col("abstained"), F.col("fallback")).otherwise(F.col("routed")).alias("model"), F.lit(True).alias("covered"))
-    return evaluate.chosen_rows(asg, obs, best, False).agg(F.round(stats.stable_mean(F.col("quality_loss")), 9).alias("development_loss"))
+    obs = observations(spark, sf_dir)
+    means, e = _means(obs)
+    rules = _rules(means, e.strongest, 0.05)
+    prompts = evaluate.prompt_results(obs, e.strongest).where(F.col("task").isin(list(rules)))
+    pick = F.when(_abstains(F.col("prompt_id")), e.strongest).otherwise(_of_task(rules))
+    return evaluate.chosen_picks(prompts, {"policy": pick}, False).agg(F.round(stats.stable_mean(F.col("quality_loss")), 9).alias("development_loss"))
 
 
 @query(ASG + """, s AS (SELECT baseline, avg(latency) AS latency_ms, avg(cost_usd) AS cost_usd FROM c GROUP BY baseline)
 SELECT b.baseline, b.latency_ms > o.latency_ms * (1.0 + CAST(0.05 AS DOUBLE)) + 1e-12 AS latency_regressed, b.cost_usd > o.cost_usd * (1.0 + CAST(0.05 AS DOUBLE)) + 1e-12 AS cost_regressed FROM s b CROSS JOIN (SELECT * FROM s WHERE baseline = 'always-strongest') o""")
 def ci_gate(spark, sf_dir):
-    s = evaluate.compare(evaluate.chosen_rows(*_assignments(spark, sf_dir), True)).select("baseline", "latency_ms", "cost_usd")
+    s = evaluate.compare(_chosen(spark, sf_dir)).select("baseline", "latency_ms", "cost_usd")
     old = s.where("baseline = 'always-strongest'").select(F.col("latency_ms").alias("l0"), F.col("cost_usd").alias("c0"))
     over = lambda new, was: F.col(new) > F.col(was) * (1.0 + F.lit(0.05)) + 1e-12
     return s.crossJoin(old).select("baseline", over("latency_ms", "l0").alias("latency_regressed"), over("cost_usd", "c0").alias("cost_regressed"))
@@ -423,7 +443,7 @@ m AS (SELECT d.task, d.r, avg(v.quality) AS q FROM d JOIN v ON v.task = d.task A
 SELECT task, round(quantile_cont(q, 0.025), 9) AS low, round(quantile_cont(q, 0.975), 9) AS high, CAST(0.95 AS DOUBLE) AS confidence FROM m GROUP BY task""")
 def bootstrap_hash_ci(spark, sf_dir):
     rows = observations(spark, sf_dir).where("model = 'm2'")
-    return _rounded(stats.bootstrap_hashed(rows, ["task"], ["prompt_id"], "quality", 42, 100), "low", "high")
+    return _rounded(stats.bootstrap_hashed_blocks(rows, ["task"], "prompt_id", "quality", 42, 100), "low", "high")
 
 
 @query(OBS + f""", s AS (SELECT model, trace_id, sum(quality) AS s, count(*) AS k FROM obs GROUP BY ALL),
@@ -432,7 +452,7 @@ d AS (SELECT v.model, r.r, {_DRAW.format(i="v.i", n="v.n")} AS j FROM v CROSS JO
 m AS (SELECT d.model, d.r, sum(v.s) / sum(v.k) AS q FROM d JOIN v ON v.model = d.model AND v.i = d.j GROUP BY ALL)
 SELECT model, round(quantile_cont(q, 0.025), 9) AS low, round(quantile_cont(q, 0.975), 9) AS high, CAST(0.95 AS DOUBLE) AS confidence FROM m GROUP BY model""")
 def cluster_bootstrap_hash_ci(spark, sf_dir):
-    return _rounded(stats.bootstrap_clusters_hashed(observations(spark, sf_dir), ["model"], "trace_id", "quality", 42, 200), "low", "high")
+    return _rounded(stats.bootstrap_hashed_blocks(observations(spark, sf_dir), ["model"], "trace_id", "quality", 42, 200), "low", "high")
 
 
 @query()
@@ -511,14 +531,9 @@ def nb_classify(spark, sf_dir):
 
 def _policy(spark: SparkSession, sf_dir: str, budget: float = 0.05) -> route.Policy:
     """A policy over the whole matrix, whose tasks are given with the prompts."""
-    obs = observations(spark, sf_dir)
-    means = metrics.aggregate_metrics(obs)
-    rows = means.collect()  # tasks x models
-    best = metrics.extremes(means).first().strongest
-    table: dict[str, dict[str, route.Metrics]] = {}
-    for r in rows:
-        table.setdefault(r.task if r.scope == "task" else route.GLOBAL, {})[r.model] = route.Metrics(r.quality, r.latency_ms, r.cost_usd, r.load_ms, r.samples)
-    rules = {r.task: route.Rule(r.model, table[r.task][r.model].quality, 0.0, "compiled") for r in metrics.choose(means.where("scope = 'task'"), ["task"], best, budget, "cost").collect()}
+    means, e = _means(observations(spark, sf_dir))
+    table, best = _task_metrics(means), e.strongest
+    rules = {t: route.Rule(m, table[t][m].quality, 0.0, "compiled") for t, m in _rules(means, best, budget).items()}
     known = cl.TaskClassifier(dict.fromkeys(rules, 1), {t: {} for t in rules}, exact=False)
     return route.Policy(best, "cost", budget, tuple(sorted(table[route.GLOBAL])), rules, table, known)
 
