@@ -94,6 +94,23 @@ def _by_key(df: DataFrame, keys: int, tasks: int, fn: Callable[[int, dict[str, l
 # --- one level ----------------------------------------------------------------------------------
 
 
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """Indices that sort rows by the first key, then by the others. Only ties of the first key, by
+    which NumPy sorts with vector instructions, are sorted by the rest."""
+    order = np.argsort(keys[0])
+    if len(keys) == 1 or not len(order):
+        return order
+    first = keys[0][order]
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = first[1:] != first[:-1]
+    tied = np.flatnonzero(~(new[:-1] & new[1:]))
+    if len(tied):
+        run = np.cumsum(new[:-1])[tied]
+        among = order[tied]
+        order[tied] = among[np.lexsort((*(k[among] for k in reversed(keys[1:])), run))]
+    return order
+
+
 def _edges(cols: list[np.ndarray], splitters: list[tuple]) -> np.ndarray:
     """Where each splitter falls in columns sorted as rows."""
     out = []
@@ -132,7 +149,7 @@ def _to_blocks(pos: np.ndarray, value: np.ndarray, block: int) -> Blobs:
     """Pairs (place, value) sent to their blocks."""
     if not len(pos):
         return
-    order = np.argsort(pos, kind="stable")
+    order = np.argsort(pos)
     pos, value = pos[order], value[order]
     b = pos // block
     heads = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
@@ -178,7 +195,7 @@ def _triples(v: np.ndarray, key: int, block: int) -> tuple[np.ndarray, np.ndarra
     pos = key * block + np.arange(len(v) - 2)
     at = np.flatnonzero(pos % 3 != 0)
     t = [v[at], v[at + 1], v[at + 2]]
-    order = np.lexsort(t[::-1])
+    order = ordered(*t)
     t = [x[order] for x in t]
     new = np.ones(len(at), bool)
     new[1:] = (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1]) | (t[2][1:] != t[2][:-1])
@@ -202,7 +219,7 @@ def _names(string: DataFrame, block: int, tasks: int, splitters: list[tuple]) ->
     def name(p: int, rows: dict[str, list]) -> Blobs:
         each = [np.frombuffer(x, _U).reshape(3, -1) for x in rows["data"]]
         t0, t1, t2 = np.concatenate(each, axis=1)
-        order = np.lexsort((t2, t1, t0))
+        order = ordered(t0, t1, t2)
         t0, t1, t2 = t0[order], t1[order], t2[order]
         new = np.ones(len(order), bool)
         new[1:] = (t0[1:] != t0[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
@@ -280,32 +297,23 @@ def _local(string: DataFrame, n: int, block: int) -> DataFrame:
     return string.select("key", "data").coalesce(1).mapInArrow(run, "key bigint, data binary")
 
 
-def _less(x: dict[str, np.ndarray], i: np.ndarray, y: dict[str, np.ndarray], j: np.ndarray) -> np.ndarray:
-    """Whether suffix i of class 0 precedes the sampled suffix j."""
-    t, u = x["t0"][i], y["t0"][j]
-    one = y["one"][j]
-    a, b = x["t1"][i], y["t1"][j]
-    by_one = x["ra"][i] < y["ra"][j]
-    by_two = (a < b) | (a == b) & (x["rb"][i] < y["rb"][j])
-    return (t < u) | (t == u) & np.where(one, by_one, by_two)
-
-
 def merged(zero: dict[str, np.ndarray], some: dict[str, np.ndarray]) -> np.ndarray:
-    """Places of all suffixes of a slice in order: class 0 merged into the sampled ones."""
-    some = {k: v[np.argsort(some["own"], kind="stable")] for k, v in some.items()}
-    order = np.lexsort((zero["ra"], zero["t0"]))
+    """Places of all suffixes of a slice in order: class 0 merged into the sampled ones, with those
+    of class 1 by the first symbol and the rank of the rest, with those of class 2 by two symbols
+    and a rank."""
+    order = np.argsort(some["own"])
+    some = {k: v[order] for k, v in some.items()}
+    order = ordered(zero["t0"], zero["ra"])
     zero = {k: v[order] for k, v in zero.items()}
     m, n = len(zero["pos"]), len(some["pos"])
-    lo, hi = np.zeros(m, np.int64), np.full(m, n)
-    i = np.arange(m)
-    while n and (open_ := lo < hi).any():
-        mid = np.minimum((lo + hi) // 2, n - 1)
-        before = _less(zero, i, some, mid)
-        hi = np.where(open_ & before, mid, hi)
-        lo = np.where(open_ & ~before, mid + 1, lo)
+    before = np.zeros(m, np.int64)  # sampled suffixes before each of class 0
+    for mine, keys in ((some["one"], ("t0", "ra")), (~some["one"], ("t0", "t1", "rb"))):
+        both = ordered(*(np.concatenate([zero[k], some[k][mine]]) for k in keys))
+        is_zero = both < m
+        before[both[is_zero]] += np.cumsum(~is_zero)[is_zero]
     out = np.empty(m + n, np.int64)
-    out[lo + i] = zero["pos"]
-    out[np.arange(n) + np.searchsorted(lo, np.arange(n), "right")] = some["pos"]
+    out[before + np.arange(m)] = zero["pos"]
+    out[np.arange(n) + np.searchsorted(before, np.arange(n), "right")] = some["pos"]
     return out
 
 
@@ -392,7 +400,8 @@ def _merge(string: DataFrame, ranks: DataFrame, n: int, block: int, slice_: int,
         pos = key * block + np.arange(size)
         kind = pos % 3
         p = slices_of(kind, rank[:-2], v[:-2], rank[1:-1], splitters)
-        order = np.argsort(p, kind="stable")
+        # few slices are sorted by their digits
+        order = np.argsort(p.astype(np.uint16) if len(splitters[0]) < 1 << 16 else p, kind="stable")
         # of each class what its comparisons need
         cols = [v[:-2], v[1:-1], rank[1:-1], rank[2:], rank[:-2], pos.astype(_U), *([np.frombuffer(rows["grams"][at], _U)] if more else [])]
         cols, kind, p = [c[order] for c in cols], kind[order], p[order]

@@ -80,6 +80,17 @@ def test_slices_are_even_whatever_repeats():
         assert got.tolist() == np.searchsorted(rank[some], rank[: len(v)], "right").tolist()
 
 
+def test_order_by_several_keys():
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 5), (1, 5), (500, 3), (500, 1 << 60), (500, 40)):
+        keys = [rng.integers(0, top, n).astype(np.uint64) for _ in range(3)]
+        for k in (1, 2, 3):
+            got = suffix.ordered(*keys[:k])
+            assert sorted(got.tolist()) == list(range(n))
+            rows = [tuple(int(x[i]) for x in keys[:k]) for i in got]
+            assert rows == sorted(rows)
+
+
 def test_ranks_of_suffixes():
     rng = np.random.default_rng(5)
     for n in (1, 2, 3, 50, 400):
