@@ -13,10 +13,10 @@ from matrixloom.operators.route import route_batch
 from matrixloom.operators.trials import last_write, to_matrix
 from matrixloom.operators.validate import trace_coverage
 from matrixloom.plans.audit import audit, compile_policy, gate
-from matrixloom.plans.report import chat_routes, policy_text, write_chat_routes, write_policy_text, write_report
+from matrixloom.plans.report import chat_routes, console, policy_text, write_chat_routes, write_policy_text, write_report
 from matrixloom.sources.demo import MANIFEST, demo_observations
 from matrixloom.sources.jsonl import load_jsonl, load_policy, load_tasks, load_trials
-from matrixloom.sources.sinks import dump_json, dump_jsonl, dump_policy
+from matrixloom.sources.sinks import dump_json, dump_jsonl, dump_policy, single_writer
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -53,6 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             doc = audit(demo_observations(spark), **how).document | {"provenance": MANIFEST}
             dump_jsonl(demo_observations(spark), f"{a.output}/observations")
             write_report(doc, a.output)
+            print(console(doc, a.output))
         elif a.command == "validate":
             print(trace_coverage(load_jsonl(spark, a.input)).first())
         elif a.command == "audit":
@@ -60,6 +61,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             write_report(got.document, a.output)
             dump_policy(got.policy, Path(a.output) / "policy.json")
             write_policy_text(got.policy.to_dict(), Path(a.output) / "policy.txt")
+            print(console(got.document, a.output))
         elif a.command == "compile":
             dump_policy(compile_policy(load_jsonl(spark, a.input, require_signal=True), **how), a.output)
         elif a.command == "route":
@@ -68,7 +70,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.command == "matrix":
             trials = last_write(load_trials(spark, a.trials))
             models = sorted(r.model for r in trials.select("model").distinct().collect())
-            dump_jsonl(to_matrix(trials, load_tasks(spark, a.suite), models), a.output)
+            with single_writer(a.output):
+                dump_jsonl(to_matrix(trials, load_tasks(spark, a.suite), models), a.output)
         else:
             before = json.loads(Path(a.baseline).read_text("utf-8"))
             doc = audit(load_jsonl(spark, a.input, require_signal=True), **how).document

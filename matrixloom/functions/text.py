@@ -89,13 +89,24 @@ def _verdict(ok: Column, yes: str, no: str) -> Column:
 _ZERO = lambda reason: _grade(F.lit(0.0), F.lit(False), F.lit(reason))
 
 
+def _unless(bad: Column, reason: str, verdict: Column) -> Column:
+    """The verdict, or neither score nor correctness for a specification that can't be used: one bad
+    row of a suite must not end a job. py_grade() raises for the same specifications."""
+    none = _grade(F.lit(None), F.lit(None).cast("boolean"), F.lit(reason))
+    return F.when(F.coalesce(bad, F.lit(True)), none).otherwise(verdict)
+
+
 def grade_number(response: Column, expected: Column, tolerance: Column | None = None) -> Column:
     """Whether the last number of the answer is the expected one, within tolerance."""
     clean = normalise(response)
     last = F.try_element_at(F.regexp_extract_all(clean, F.lit(f"({_NUMBER})"), F.lit(1)), F.lit(-1))
     allowed = F.coalesce(_number(tolerance), F.lit(0.0)) if tolerance is not None else F.lit(0.0)
     near = F.coalesce(F.abs(_number(last) - _number(expected)) <= allowed, F.lit(False))
-    return F.when(clean == "", _ZERO("empty response")).when(last.isNull(), _ZERO("no number in response")).otherwise(_verdict(near, "numeric match", "numeric mismatch"))
+    verdict = F.when(clean == "", _ZERO("empty response")).when(last.isNull(), _ZERO("no number in response")).otherwise(_verdict(near, "numeric match", "numeric mismatch"))
+    bad = _number(expected).isNull()
+    if tolerance is not None:
+        bad = bad | (tolerance.isNotNull() & (tolerance != "") & F.coalesce(_number(tolerance) < 0, F.lit(True)))
+    return _unless(bad, "expected number and tolerance must be finite, the tolerance not negative", verdict)
 
 
 def grade_string(response: Column, expected: Column) -> Column:
@@ -106,13 +117,14 @@ def grade_string(response: Column, expected: Column) -> Column:
     first = canonical(F.try_element_at(lines, F.lit(1))) == want
     last = canonical(F.try_element_at(lines, F.lit(-1))) == want
     one = lambda r: _grade(F.lit(1.0), F.lit(True), F.lit(r))
-    return (
+    verdict = (
         F.when(clean == "", _ZERO("empty response"))
         .when(canonical(clean) == want, one("exact match"))
         .when(first, one("first-line match"))
         .when(last, one("final-line match"))
         .otherwise(_ZERO("string mismatch"))
     )
+    return _unless(want == "", "nothing is expected", verdict)
 
 
 def grade_json_field(response: Column, expected: Column, field: Column) -> Column:
@@ -123,13 +135,14 @@ def grade_json_field(response: Column, expected: Column, field: Column) -> Colum
     keys = F.json_object_keys(body)
     fields = F.from_json(body, "map<string,string>")
     value = F.try_element_at(fields, field)
-    return (
+    verdict = (
         F.when(clean == "", _ZERO("empty response"))
         .when(body == "", _ZERO("no JSON object in response"))
         .when(keys.isNull() | F.try_parse_json(body).isNull(), _ZERO("invalid JSON in response"))
         .when(~F.array_contains(keys, field), _ZERO("field missing from JSON"))
         .otherwise(_verdict(F.coalesce(canonical(value) == canonical(expected), F.lit(False)), "field match", "field mismatch"))
     )
+    return _unless(field == "", "the field has no name", verdict)
 
 
 def grade_contains_all(response: Column, expected: Column) -> Column:
@@ -140,13 +153,22 @@ def grade_contains_all(response: Column, expected: Column) -> Column:
     n = F.size(parts)
     done = found == n
     reason = F.when(done, "all substrings present").otherwise(F.format_string("%d/%d substrings present", found, n))
-    return F.when(hay == "", _ZERO("empty response")).otherwise(_grade(found / n, done, reason))
+    share = found / F.when(n > 0, n)
+    return _unless(n <= 0, "no substring is required", F.when(hay == "", _ZERO("empty response")).otherwise(_grade(share, done, reason)))
+
+
+def usable_pattern(pattern: Column) -> Column:
+    """The pattern if it compiles and has 1 to MAX_PATTERN characters, else null."""
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern)
+    return F.when((F.length(pattern) > 0) & (F.length(pattern) <= MAX_PATTERN) & compiled.isNotNull(), pattern)
 
 
 def grade_regex(response: Column, pattern: Column) -> Column:
     """Whether the pattern occurs, ignoring case (Java dialect)."""
-    clean = normalise(response)
-    return F.when(clean == "", _ZERO("empty response")).otherwise(_verdict(F.rlike(clean, F.concat(F.lit("(?iu)"), pattern)), "pattern match", "pattern mismatch"))
+    clean, usable = normalise(response), usable_pattern(pattern)
+    found = F.coalesce(F.rlike(clean, F.concat(F.lit("(?iu)"), usable)), F.lit(False))
+    verdict = F.when(clean == "", _ZERO("empty response")).otherwise(_verdict(found, "pattern match", "pattern mismatch"))
+    return _unless(usable.isNull(), f"a pattern must compile and have 1 to {MAX_PATTERN} characters", verdict)
 
 
 def grade(response: Column, expected: Column, grader: Column, argument: Column) -> Column:

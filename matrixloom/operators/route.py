@@ -134,7 +134,8 @@ def decisions(spark: SparkSession, policy: Policy, switch_cost: float = 0.0) ->
     rows = []
     for task in policy.routes:
         for warm in (None, *policy.pool, _ELSEWHERE):
-            rows.append((task, warm or "", *decide(policy, task, 1.0, False, "", warm, switch_cost)))
+            got = decide(policy, task, 1.0, False, "", warm, switch_cost)
+            rows.append((task, warm or "", *(float(x) if type(x) is int else x for x in got)))
     return spark.createDataFrame(rows, "on_task string, on_warm string, " + DECISION)
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def last_write(trials: DataFrame, order: str = "line_no") -> DataFrame:
-    """The last row of each task and model; failed and unnamed rows don't count."""
+def last_write(trials: DataFrame, order: str | None = None) -> DataFrame:
+    """The last row of each task and model; failed and unnamed rows don't count. The order is that
+    of place, which holds over all files of a run, where there is one, else of line_no."""
+    order = order or ("place" if "place" in trials.columns else "line_no")
     ok = trials.where("task_id is not null and task_id <> '' and model is not null and model <> '' and (error is null or error = '')")
     rest = [c for c in trials.columns if c not in ("task_id", "model")]
     last = ok.groupBy("task_id", "model").agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"))
@@ -88,3 +90,25 @@ def duration_text(seconds: float) -> str:
     if seconds < 90:
         return f"{seconds:.0f} s"
     return f"{seconds / 60:.0f} min" if seconds < 5400 else f"{seconds / 3600:.1f} h"
+
+
+def resolve_models(requested: DataFrame, installed: DataFrame) -> DataFrame:
+    """(requested, canonical) of the models asked for, the first of each canonical name.
+
+    requested: (pos, name); installed: (pos, canonical, name), a row for each name that a model
+    goes by. A name goes to the first model that has it. ValueError for one that none has.
+    """
+    asked = requested.select("pos", F.trim("name").alias("name"))
+    first = installed.groupBy("name").agg(F.min_by("canonical", "pos").alias("canonical"))
+    found = asked.join(first, "name", "left")
+    missing = found.where("canonical is null or name = ''").orderBy("pos").limit(5).collect()
+    if missing or not asked.limit(1).count():
+        raise ValueError("not installed: " + ", ".join(repr(r.name) for r in missing) if missing else "at least one model is required")
+    return found.groupBy("canonical").agg(F.min_by("name", "pos").alias("requested")).select("requested", "canonical")
+
+
+def residency_difference(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(model, side) of models that are gone, 'missing', or new, 'additional'."""
+    a, b = before.select("model").distinct(), after.select("model").distinct()
+    side = lambda x, y, name: x.join(y, "model", "left_anti").select("model", F.lit(name).alias("side"))
+    return side(a, b, "missing").unionByName(side(b, a, "additional"))

@@ -21,21 +21,29 @@ def untrimmed(c: Column) -> Column:
     return (c == "") | F.rlike(c, F.lit(r"(?U)\A\s|\s\z"))
 
 
-def out_of_range(obs: DataFrame) -> DataFrame:
-    """Text that is blank or padded, and measures that are missing, not finite or out of bounds."""
-    p, m = F.col("prompt_id"), F.col("model")
-    parts = []
+def _row_checks(require_signal: bool = False) -> Column:
+    """Array of (code, detail) of what is wrong with a row by itself."""
+    checks: list[tuple[Column, str, str]] = []
     for c in ("prompt_id", "model"):
-        parts.append(_found(obs.where(F.col(c).isNull() | untrimmed(F.col(c))), "text", F.lit(c), p, m))
-    for c in ("prompt", "task", "trace_id"):
-        parts.append(_found(obs.where(untrimmed(F.col(c))), "text", F.lit(c), p, m))
+        checks.append((F.col(c).isNull() | untrimmed(F.col(c)), "text", c))
+    checks += [(untrimmed(F.col(c)), "text", c) for c in ("prompt", "task", "trace_id")]
     for c, top in (("quality", 1.0), ("latency_ms", None), ("cost_usd", None), ("load_ms", None)):
         v = F.col(c)
         bad = v.isNull() | F.isnan(v) | (v < 0) | (v == float("inf"))
-        parts.append(_found(obs.where(bad if top is None else bad | (v > top)), "range", F.lit(c), p, m))
-    parts.append(_found(obs.where(F.col("trace_id").isNull() != F.col("sequence_index").isNull()), "trace_pair", F.lit("trace_id and sequence_index come together"), p, m))
-    parts.append(_found(obs.where(F.col("sequence_index") < 0), "range", F.lit("sequence_index"), p, m))
-    return reduce(DataFrame.unionByName, parts)
+        checks.append((bad if top is None else bad | (v > top), "range", c))
+    checks.append((F.col("trace_id").isNull() != F.col("sequence_index").isNull(), "trace_pair", "trace_id and sequence_index come together"))
+    checks.append((F.col("sequence_index") < 0, "range", "sequence_index"))
+    if require_signal:
+        checks.append((F.col("prompt").isNull() & F.col("task").isNull(), "no_signal", "neither prompt nor task"))
+    each = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(detail).alias("detail"))) for bad, code, detail in checks]
+    return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+
+def out_of_range(obs: DataFrame, require_signal: bool = False) -> DataFrame:
+    """Text that is blank or padded, and measures that are missing, not finite or out of bounds; with
+    require_signal rows without prompt and task. One scan, whatever the number of checks."""
+    found = obs.select("prompt_id", "model", F.explode(_row_checks(require_signal)).alias("x"))
+    return found.select("x.code", "prompt_id", "model", "x.detail")
 
 
 def duplicates(obs: DataFrame) -> DataFrame:
@@ -67,15 +75,13 @@ def violations(obs: DataFrame, require_signal: bool = False, require_complete: b
     """Every violation as (code, prompt_id, model, detail)."""
     p = F.col("prompt_id")
     parts = [
-        out_of_range(obs),
+        out_of_range(obs, require_signal),
         _found(duplicates(obs), "duplicate", F.col("n").cast("string"), p, F.col("model")),
         _found(inconsistent_prompts(obs), "inconsistent", F.col("n_versions").cast("string"), p),
         _found(shared_places(obs), "shared_place", F.format_string("%s[%d]", "trace_id", "sequence_index")),
     ]
     if require_complete:
         parts.append(_found(missing_pairs(obs), "missing", F.lit("no result"), p, F.col("model")))
-    if require_signal:
-        parts.append(_found(obs.where("prompt is null and task is null"), "no_signal", F.lit("neither prompt nor task"), p, F.col("model")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -474,9 +474,19 @@ def bootstrap_mt_ci(spark, sf_dir):
     return stats.bootstrap_mersenne(observations(spark, sf_dir), ["model"], ["trace_id", "sequence_index"], "quality", F.lit(42), "trace_id")
 
 
-@query()
+_P = stats.PRIME
+_WEIGHT = "CASE " + " ".join(f"WHEN u < CAST({float(x)!r} AS DOUBLE) THEN {i}" for i, x in enumerate(stats.POISSON)) + f" ELSE {len(stats.POISSON)} END"
+_EACH = [(m, f"(sum(w * q{m}) / sum(w))") for m in range(3)]
+
+
+@query(OBS + """, p AS (SELECT md5('matrixloom:42:' || prompt_id) AS h, max(CASE WHEN model = 'm0' THEN quality END) AS q0, max(CASE WHEN model = 'm1' THEN quality END) AS q1, max(CASE WHEN model = 'm2' THEN quality END) AS q2 FROM obs GROUP BY prompt_id),
+k AS (SELECT q0, q1, q2, """ + ", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) % {_P} AS c{i}" for i in range(4)) + f""" FROM p),
+x AS (SELECT r, q0, q1, q2, CAST((((c3 * r + c2) % {_P} * r + c1) % {_P} * r + c0) % {_P} AS DOUBLE) / CAST({_P} AS DOUBLE) AS u FROM k CROSS JOIN range(1000) t(r)),
+w AS (SELECT r, q0, q1, q2, {_WEIGHT} AS w FROM x), m AS (SELECT r, {', '.join(f'{e} AS a{m}' for m, e in _EACH)} FROM w GROUP BY r)
+""" + " UNION ALL ".join(f"SELECT 'm{m}' AS model, round(quantile_cont(a{m}, 0.025), 9) AS low, round(quantile_cont(a{m}, 0.975), 9) AS high, CAST(0.95 AS DOUBLE) AS confidence FROM m" for m in range(3)))
 def bootstrap_poisson_ci(spark, sf_dir):
-    return stats.bootstrap_poisson(observations(spark, sf_dir), "model", "prompt_id", "quality", 42)
+    """Every row and model, 1,000 replicates, added up per partition."""
+    return _rounded(stats.bootstrap_poisson(observations(spark, sf_dir), "model", "prompt_id", "quality", 42), "low", "high")
 
 
 # --- text -----------------------------------------------------------------------------------------
@@ -731,3 +741,6 @@ def audit_compare(spark, sf_dir):
     doc = audit(observations(spark, sf_dir), objective="cost", max_quality_loss=0.05).document
     rows = [(b["name"], b["quality"], b["quality_loss"], b["cost_usd"], b["latency_ms"], b["coverage"], b["routing_regret"], b["switch_count"], b["confidence_intervals"]["quality_loss"]["high"]) for b in doc["baselines"]]
     return spark.createDataFrame(rows, "baseline string, quality double, quality_loss double, cost_usd double, latency_ms double, coverage double, routing_regret double, switch_count bigint, quality_loss_high double")
+
+
+from matrixloom.plans import checks as _checks  # noqa: E402, F401, registers the other half

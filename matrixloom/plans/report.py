@@ -108,6 +108,18 @@ def page(summary: Mapping) -> str:
     return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Routing audit</title><style>table{{border-collapse:collapse}}td,th{{border:1px solid;padding:2px 6px}}</style></head><body>{body}</body></html>\n'
 
 
+def console(audit: Mapping, output: object = "") -> str:
+    """What a terminal shows of an audit: a line for each measure."""
+    compiled = next((b for b in audit.get("baselines", []) if b.get("name") == "compiled"), None)
+    rows = [("Objective", audit.get("objective", "unknown")), ("Budget", f"{float(audit.get('max_quality_loss', 0)):.4f}"), ("Fallback", audit.get("strongest_model", "unknown")), ("Pool", ", ".join(audit.get("recommended_pool", [])))]
+    if compiled:
+        rows += [("Held-out quality", f"{float(compiled.get('quality', 0)):.4f}"), ("Held-out loss", f"{float(compiled.get('quality_loss', 0)):.4f}"), ("Held-out latency", f"{float(compiled.get('latency_ms', 0)):.2f} ms"), ("Held-out coverage", f"{float(compiled.get('coverage', 0)):.1%}")]
+    if output:
+        rows.append(("Written to", output))
+    width = max(len(k) for k, _ in rows)
+    return "\n".join(f"{k:<{width}}  {v}" for k, v in rows)
+
+
 def write_report(audit: Mapping, output: str | Path, include_prompts: bool = False) -> tuple[Path, Path]:
     """The page and summary.json, in a folder or beside the .html file named."""
     out, doc = Path(output), summary(audit, include_prompts)

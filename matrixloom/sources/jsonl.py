@@ -89,19 +89,20 @@ def observations(rows: DataFrame) -> DataFrame:
     )
 
 
-def _checked(rows: DataFrame, require_signal: bool, require_complete: bool) -> DataFrame:
+def _checked(rows: DataFrame, require_signal: bool, require_complete: bool, max_rows: int = MAX_ROWS) -> DataFrame:
     n = rows.count()
-    if not n or n > MAX_ROWS:
-        raise ValidationError(f"{n} rows; 1 to {MAX_ROWS} are read")
+    if not n or n > max_rows:
+        raise ValidationError(f"{n} rows; 1 to {max_rows} are read")
     found = line_violations(rows).orderBy("line_no", "code", "detail").limit(5).collect()
     if found:
         raise ValidationError("; ".join(f"line {x.line_no}: {x.code} {x.detail}".rstrip() for x in found))
     return validate(observations(rows), require_signal, require_complete)
 
 
-def load_jsonl(spark: SparkSession, path: str, require_signal: bool = False, require_complete: bool = True) -> DataFrame:
-    """Validated observations of a JSON-lines file."""
-    return _checked(lines(spark, path), require_signal, require_complete)
+def load_jsonl(spark: SparkSession, path: str, require_signal: bool = False, require_complete: bool = True, max_bytes: int = MAX_FILE_BYTES, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Validated observations of a JSON-lines file. The limits are those of the file format; larger
+    tables are read with larger ones, or by read_observations() and validate()."""
+    return _checked(lines(spark, path, max_bytes), require_signal, require_complete, max_rows)
 
 
 def parse_jsonl(spark: SparkSession, text: str, require_signal: bool = False, require_complete: bool = True) -> DataFrame:
@@ -143,10 +144,14 @@ def load_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_trials(spark: SparkSession, path: str) -> DataFrame:
-    """Trials of an append-only file; blank and broken lines are passed over."""
-    rows = parsed(lines(spark, path)).where("v is not null")
+    """Trials of an append-only file or folder of files of any size; blank and broken lines are
+    passed over. place orders rows over all files: when their append began, their number in it,
+    and for rows of other writers file and line."""
+    files = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start")).alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\\r\\z", "").alias("value"))
     get = lambda f, t: F.try_variant_get("v", f"$.{f}", t)
-    return rows.select(get("task_id", "string").alias("task_id"), get("model", "string").alias("model"), F.coalesce(get("quality", "double"), F.lit(0.0)).alias("quality"), F.coalesce(get("correct", "boolean"), F.lit(False)).alias("correct"), F.coalesce(get("generation_ms", "double"), F.lit(0.0)).alias("generation_ms"), F.coalesce(get("load_ms", "double"), F.lit(0.0)).alias("load_ms"), F.coalesce(get("grade_reason", "string"), F.lit("")).alias("grade_reason"), F.nullif(get("error", "string"), F.lit("")).alias("error"), "line_no")
+    rows = parsed(files).where("v is not null")
+    place = F.struct(get("written_at", "bigint").alias("written_at"), get("row", "bigint").alias("row"), "path", "block", "id")
+    return rows.select(get("task_id", "string").alias("task_id"), get("model", "string").alias("model"), F.coalesce(get("quality", "double"), F.lit(0.0)).alias("quality"), F.coalesce(get("correct", "boolean"), F.lit(False)).alias("correct"), F.coalesce(get("generation_ms", "double"), F.lit(0.0)).alias("generation_ms"), F.coalesce(get("load_ms", "double"), F.lit(0.0)).alias("load_ms"), F.coalesce(get("grade_reason", "string"), F.lit("")).alias("grade_reason"), F.nullif(get("error", "string"), F.lit("")).alias("error"), place.alias("place"))
 
 
 def load_profile(spark: SparkSession, path: str) -> DataFrame:

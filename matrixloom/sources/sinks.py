@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -31,8 +34,38 @@ def dump_jsonl(obs: DataFrame, path: str, check: bool = True) -> str:
 
 
 def append_trials(trials: DataFrame, path: str) -> None:
-    """Rows added to the sidecar of a run; load_trials and last_write read it back."""
-    trials.select(F.to_json(F.struct(*trials.columns)).alias("value")).write.mode("append").text(path)
+    """Rows added to the sidecar of a run; load_trials and last_write read it back. Each row carries
+    when its append began and its number in it, so the order holds over all files."""
+    own = [c for c in trials.columns if c not in ("line_no", "place", "written_at", "row")]
+    stamped = trials.select(*own, F.lit(time.time_ns()).alias("written_at"), F.monotonically_increasing_id().alias("row"))
+    stamped.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
+
+
+@contextmanager
+def single_writer(path: str | Path) -> Iterator[None]:
+    """Refuse to go on while another live process writes to the same output; a lock that a killed
+    one left behind is taken over."""
+    lock = Path(f"{path}.lock")
+    while True:
+        try:
+            fd = os.open(lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+            break
+        except FileExistsError:
+            text = lock.read_text("utf-8").strip() if lock.exists() else ""
+            owner = int(text) if text.isdigit() else 0
+            if owner and owner != os.getpid() and Path(f"/proc/{owner}").exists():
+                raise ConcurrentRunError(f"process {owner} is writing to {path}") from None
+            lock.unlink(missing_ok=True)
+    try:
+        with os.fdopen(fd, "w", encoding="utf-8") as f:
+            f.write(str(os.getpid()))
+        yield
+    finally:
+        lock.unlink(missing_ok=True)
+
+
+class ConcurrentRunError(RuntimeError):
+    """Two runs at a time would spoil each other's timings."""
 
 
 def write_text(path: str | Path, text: str) -> Path:
