@@ -59,10 +59,16 @@ def test_junk_goes(spark):
     assert not kept & {300, 301, 302, 303} and set(range(60)) <= kept
 
 
-def test_stages_keep_the_columns(spark, odd, none):
-    for df in (odd, none):
+def test_stages_keep_the_columns(spark, odd, clashing, none):
+    for df in (odd, clashing, none):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, df, "")
             assert out.columns == df.columns, name
             assert [f.dataType for f in out.schema] == [f.dataType for f in df.schema], name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "secret_scan", "mixing", "packing"]
+
+
+def test_run_over_an_empty_table(spark, none, tmp_path):
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == ["seq", "doc_id", "piece", "start_char", "end_char", "tokens", "cost"]
