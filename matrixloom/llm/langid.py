@@ -11,7 +11,8 @@ are the contexts of any language, with the exact cost of every byte in every sta
 advance. The state after i bytes is found in ORDER steps, each a gather over the whole batch.
 
 A text is rejected if it has no bytes or if even the shortest code spends more bits a byte than
-the limit of its language, as texts of no known language cost far more. A quarter of each
+the limit of its language and START bits besides, as its first bytes have little context and short
+texts vary most; texts of no known language cost far more. A quarter of each
 language's sample is held out for it, one document at least where there are two: the limit is
 their lower quartile plus DEVIATIONS times their spread about it, which lies within SPREAD. A
 held-out text that is FAR from the quartile counts as FAR, so that junk under a label, short of
@@ -49,7 +50,9 @@ LEAST_SEEN = 8
 DEVIATIONS = 6.0
 #: Bits a byte beyond which a held-out text counts as no farther from the quartile.
 FAR = 1.0
-SPREAD = 0.1, 0.5
+SPREAD = 0.2, 0.5
+#: Bits that the beginning of any text may cost above the limit.
+START = 16.0
 #: Held-out texts with which a language's own spread is relied on.
 FEW = 8
 #: Contexts whose costs are worked out at a time, and bytes that are scored at a time.
@@ -264,7 +267,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 void = (size == 0) | (not m.languages)
                 best = np.where(void, len(m.languages), best)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, last - first), pa.array(names[best], pa.string()), pa.array(np.round(low, 6), mask=void), pa.array(np.round(margin, 6), mask=void), pa.array(~void & (low <= np.append(m.limits, -np.inf)[best]))],
+                    [b.column(0).slice(first, last - first), pa.array(names[best], pa.string()), pa.array(np.round(low, 6), mask=void), pa.array(np.round(margin, 6), mask=void), pa.array(~void & (low * size <= np.append(m.limits, -np.inf)[best] * np.maximum(size, 1) + START))],
                     names=["doc_id", "language", "bits_per_byte", "margin", "accepted"],
                 )
 
@@ -289,7 +292,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 for first, last, data, offsets in chunks(b.column(at)):
                     size = np.diff(offsets)
                     bits = score(m, data, offsets)
-                    keep[first:last] = (size > 0) & (bits.min(1) / np.maximum(size, 1) <= m.limits[bits.argmin(1)])
+                    keep[first:last] = (size > 0) & (bits.min(1) <= m.limits[bits.argmin(1)] * size + START)
             yield b.filter(pa.array(keep))
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)

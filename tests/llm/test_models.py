@@ -144,7 +144,7 @@ def test_small_tables_reject_too(spark, each):
 
 def test_each_language_has_its_limit():
     limits = langid._limits([np.full(20, 2.0), np.array([4.0] * 18 + [9.0] * 2), np.zeros(0)])
-    assert limits[0] == pytest.approx(2.6) and 4.6 < limits[1] < 9 and limits[2] == limits[1]
+    assert limits[0] == pytest.approx(3.2) and 5.2 <= limits[1] < 9 and limits[2] == limits[1]
     assert np.isinf(langid._limits([np.zeros(0)])).all()
 
 
