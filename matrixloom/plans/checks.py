@@ -191,7 +191,7 @@ def demo_choices(spark, sf_dir):
 
 # --- policy and audit -------------------------------------------------------------------------------
 
-_SPLIT = f", dev AS (SELECT * FROM obs WHERE {q._part(q._unit('trace_id'))} = 'dev'), tst AS (SELECT * FROM obs WHERE {q._part(q._unit('trace_id'))} = 'test')"
+_SPLIT = q.PARTS + ", dev AS (SELECT obs.* FROM obs JOIN parts USING (trace_id) WHERE part = 'dev'), tst AS (SELECT obs.* FROM obs JOIN parts USING (trace_id) WHERE part = 'test')"
 _POOL = """, al AS (SELECT '' AS task, model, quality, latency_ms, cost_usd, load_ms FROM g UNION ALL SELECT 't' || task, model, quality, latency_ms, cost_usd, load_ms FROM t),
 pool AS (SELECT DISTINCT model FROM al a WHERE NOT EXISTS (SELECT 1 FROM al b WHERE b.task = a.task AND b.model <> a.model AND b.quality >= a.quality AND b.cost_usd <= a.cost_usd AND b.latency_ms <= a.latency_ms AND b.load_ms <= a.load_ms
   AND (b.quality > a.quality OR b.cost_usd < a.cost_usd OR b.latency_ms < a.latency_ms OR b.load_ms < a.load_ms)) UNION SELECT strongest FROM best)"""

@@ -180,6 +180,22 @@ def _part(u: str) -> str:
     return f"CASE WHEN {u} < CAST(0.6 AS DOUBLE) THEN 'train' WHEN {u} < CAST(0.6 AS DOUBLE) + CAST(0.2 AS DOUBLE) THEN 'dev' ELSE 'test' END"
 
 
+#: Parts of whole traces, with the moves that fill parts left too small: one after the other, from
+#: the largest part above its minimum, ties to the last name, the unit of lowest hash first.
+PARTS = f""", tr AS (SELECT trace_id, part, row_number() OVER (PARTITION BY part ORDER BY u, trace_id) AS rn FROM (SELECT DISTINCT trace_id, {_unit('trace_id')} AS u, {_part(_unit('trace_id'))} AS part FROM obs)),
+lim AS (SELECT CASE WHEN count(*) >= 5 THEN 3 ELSE 1 END AS m, count(*) >= 3 AS enough FROM tr),
+mv AS (
+  SELECT count(*) FILTER (part = 'train') AS nt, count(*) FILTER (part = 'dev') AS nd, count(*) FILTER (part = 'test') AS ne, 0 AS kt, 0 AS kd, 0 AS ke, '' AS donor, '' AS target FROM tr
+  UNION ALL
+  SELECT nt + CAST(t = 'train' AS INTEGER) - CAST(d = 'train' AS INTEGER), nd + CAST(t = 'dev' AS INTEGER) - CAST(d = 'dev' AS INTEGER), ne + CAST(t = 'test' AS INTEGER) - CAST(d = 'test' AS INTEGER),
+         kt + CAST(d = 'train' AS INTEGER), kd + CAST(d = 'dev' AS INTEGER), ke + CAST(d = 'test' AS INTEGER), d, t
+  FROM (SELECT mv.*, CASE WHEN nt < 1 THEN 'train' WHEN nd < 1 THEN 'dev' WHEN ne < m THEN 'test' END AS t,
+               CASE WHEN nt > 1 AND nt >= CASE WHEN ne > m THEN ne ELSE 0 END AND nt >= nd THEN 'train' WHEN ne > m AND ne >= nd THEN 'test' ELSE 'dev' END AS d FROM mv, lim WHERE enough) WHERE t IS NOT NULL
+), parts AS (
+  SELECT tr.trace_id, coalesce(mv.target, tr.part) AS part FROM tr LEFT JOIN mv ON mv.donor = tr.part AND tr.rn = CASE mv.donor WHEN 'train' THEN kt WHEN 'dev' THEN kd WHEN 'test' THEN ke END
+)"""
+
+
 @query(f"SELECT doc_id, round({_unit('CAST(doc_id AS VARCHAR)')}, 12) AS u, {_part(_unit('CAST(doc_id AS VARCHAR)'))} AS part FROM documents")
 def hash_split(spark, sf_dir):
     d = _table(spark, sf_dir, "documents").select("doc_id")
@@ -187,7 +203,7 @@ def hash_split(spark, sf_dir):
     return d.select("doc_id", F.round(hashing.unit_hash(ident, 42), 12).alias("u"), hashing.stable_split(ident, 42).alias("part"))
 
 
-@query(OBS + f" SELECT DISTINCT trace_id, {_part(_unit('trace_id'))} AS part FROM obs")
+@query(OBS + PARTS + " SELECT trace_id, part FROM parts")
 def hash_split_by_trace(spark, sf_dir):
     units = observations(spark, sf_dir).select(F.col("trace_id").alias("unit")).distinct()
     return split.assign_parts(units, 42, True).withColumnRenamed("unit", "trace_id")
@@ -199,10 +215,10 @@ def hash_choice_random(spark, sf_dir):
     return h.select("prompt_id", hashing.hash_choice(F.col("prompt_id"), ["m0", "m1", "m2"], 42).alias("model"))
 
 
-@query(OBS + f""", u AS (SELECT DISTINCT prompt_id, {_part(_unit('trace_id'))} AS part FROM obs)
+@query(OBS + PARTS + """, u AS (SELECT DISTINCT prompt_id, part FROM obs JOIN parts USING (trace_id))
 SELECT 'prompt' AS unit, part, count(*) AS n, 'sha256:' || sha256(unhex(hex('matrixloom:split:v2:prompt:42:' || CASE part WHEN 'dev' THEN 'development' ELSE part END) || '00' || string_agg(lpad(hex(strlen(prompt_id)), 16, '0') || hex(prompt_id), '' ORDER BY prompt_id))) AS digest FROM u GROUP BY part
 UNION ALL SELECT 'trace', part, count(*), 'sha256:' || sha256(unhex(hex('matrixloom:split:v2:trace:42:' || CASE part WHEN 'dev' THEN 'development' ELSE part END) || '00' || string_agg(lpad(hex(strlen(trace_id)), 16, '0') || hex(trace_id), '' ORDER BY trace_id)))
-FROM (SELECT DISTINCT trace_id, {_part(_unit('trace_id'))} AS part FROM obs) GROUP BY part""")
+FROM parts GROUP BY part""")
 def assignment_digest(spark, sf_dir):
     out = split.assignment_digests(split.split_observations(observations(spark, sf_dir), 42, True))
     return out.withColumn("n", F.col("n").cast("bigint"))
