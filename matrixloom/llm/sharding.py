@@ -9,7 +9,8 @@ is never in one task.
 
 Cases: a null source is a source of its own and sorts first; a null id hashes as the empty id.
 Equal fractions go by source, then id; repeated rows are interchangeable. Shards differ by one
-row at most; with fewer rows than shards some stay empty. Other columns are ignored.
+row at most; with fewer rows than shards some stay empty. Texts are not read. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

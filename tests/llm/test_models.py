@@ -203,6 +203,36 @@ def test_flat_trees_descend_as_recursive_ones_and_keep_their_constraints():
     assert ((trees.predict(x) > 0.5) == y).mean() > 0.75
 
 
+@pytest.mark.parametrize("monotone", [[0, 0, 0], [1, -1, 0], [-1, 1, 1]])
+def test_splits_are_the_best_of_all(monotone):
+    """A tree of one split against every feature and every edge, tried one by one."""
+    rng = np.random.default_rng(9)
+    for _ in range(5):
+        x = np.round(rng.random((300, 3)), 2)
+        y = (x @ rng.normal(size=3) + rng.normal(0, 0.4, 300) > 0.3).astype(float)
+        trees = quality.fit(x, y, monotone, trees=1, depth=1, rate=1.0)
+        p = y.mean()
+        base = np.log(p / (1 - p))
+        g, h = p - y, np.full(300, p * (1 - p))
+        loss = lambda rows: (lambda v: g[rows].sum() * v + 0.5 * (h[rows].sum() + 1) * v * v)(-g[rows].sum() / (h[rows].sum() + 1))
+        best = (1e-6, None, None)
+        for f in range(3):
+            for edge in np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS + 1)[1:-1])):
+                left = x[:, f] <= edge
+                if min(left.sum(), 300 - left.sum()) < quality.LEAST_ROWS:
+                    continue
+                v = [-g[r].sum() / (h[r].sum() + 1) for r in (left, ~left)]
+                if monotone[f] * (v[1] - v[0]) >= 0:
+                    gain = loss(np.ones(300, bool)) - loss(left) - loss(~left)
+                    best = max(best, (gain, f, edge), key=lambda b: b[0])
+        if best[1] is None:
+            assert np.allclose(trees.raw(x), trees.raw(x)[0])
+            continue
+        left = x[:, best[1]] <= best[2]
+        want = np.where(left, -g[left].sum() / (h[left].sum() + 1), -g[~left].sum() / (h[~left].sum() + 1))
+        assert trees.raw(x) == pytest.approx(base + want)
+
+
 def test_statistics_of_one_document():
     import pyarrow as pa
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from matrixloom.llm import suffix
+from tests.llm.conftest import awkward
 
 DOCS = "doc_id bigint, text string"
 
@@ -108,3 +109,14 @@ def test_clashing_columns(spark):
     docs = [(1, "a b c d e f g"), (2, "x a b c d e f")]
     df = spark.createDataFrame([(*r, 0, "z", 5) for r in docs], DOCS + ", k1 int, Text string, base int")
     assert [tuple(r) for r in suffix.repeated_passages(df, least=4, gram=2).collect()] == [(2, 2, 13, 1)]
+
+
+def test_awkward_documents(spark, odd, clashing, none):
+    """Nulls, ties, repeated rows and a text of 200,000 words, in tables with clashing columns."""
+    docs = [(r[0], r[1]) for r in awkward() if r[0] != 2]  # one id with two texts is ranked by hash
+    want = brute([d for d in docs if d[1] is not None], 50)
+    assert want
+    for df in (odd, clashing):
+        got = suffix.repeated_passages(df.where("doc_id is null or doc_id <> 2")).collect()
+        assert sorted(map(tuple, got), key=str) == want
+    assert suffix.repeated_passages(none).count() == 0
