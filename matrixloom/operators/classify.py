@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrixloom.functions.hashing import BUCKETS, feature_bucket
+from matrixloom.functions.sizes import small_rows
 from matrixloom.functions.text import tokens, tokens_exactly
 from matrixloom.schema import PolicyError
 
@@ -118,8 +119,8 @@ def classify(prompts: DataFrame, model: TaskClassifier, explicit: bool = True, k
     priors = [log(model.examples[t] / sum(model.examples.values())) for t in model.tasks]
     table = spark.createDataFrame([(b, [log((model.counts[t].get(b, 0) + 1) / d) for t, d in zip(model.tasks, denominators, strict=True)]) for b in space], "bucket int, logs array<double>")
     unseen = F.array(*[F.lit(log(1 / d)) for d in denominators])
-    # at most BUCKETS rows, whatever the corpus
-    hit = prompt_buckets(p.where("given is null").select("prompt_id", "prompt"), model.exact, model.buckets).join(F.broadcast(table), "bucket", "left")
+    # at most BUCKETS rows, whatever the corpus, each as wide as there are tasks
+    hit = prompt_buckets(p.where("given is null").select("prompt_id", "prompt"), model.exact, model.buckets).join(small_rows(table, len(space), k), "bucket", "left")
     logs = F.coalesce("logs", unseen)
     sums = hit.groupBy("prompt_id").agg(F.count("logs").alias("overlap"), *[F.sum(F.col("n") * logs[i]).alias(f"s{i}") for i in range(k)])
     scores = F.array(*[F.struct((-(F.col(f"s{i}") + F.lit(priors[i]))).alias("minus"), F.lit(t).alias("task")) for i, t in enumerate(model.tasks)])

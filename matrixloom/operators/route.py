@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matrixloom.functions.sizes import small_rows
 from matrixloom.operators.classify import UNKNOWN, TaskClassifier, classify
 from matrixloom.schema import EPSILON, OBJECTIVES, PolicyError
 
@@ -149,7 +150,7 @@ def route_batch(prompts: DataFrame, policy: Policy, switch_cost: float = 0.0) ->
     routed = ~F.col("abstained") & F.col("task").isin(list(policy.routes))
     warm = F.when(F.col("warm_model").isNull(), "").when(F.col("warm_model").isin(list(policy.pool)), F.col("warm_model")).otherwise(_ELSEWHERE)
     table = decisions(prompts.sparkSession, policy, switch_cost).withColumnsRenamed({n: f"d_{n}" for n in _NAMES})
-    c = c.withColumn("on_task", F.when(routed, F.col("task"))).withColumn("on_warm", warm).join(F.broadcast(table), ["on_task", "on_warm"], "left")
+    c = c.withColumn("on_task", F.when(routed, F.col("task"))).withColumn("on_warm", warm).join(small_rows(table, len(policy.routes) * (len(policy.pool) + 2), 16), ["on_task", "on_warm"], "left")
     task = F.when(F.col("abstained"), F.col("task")).otherwise(UNKNOWN)
     why = F.when(F.col("abstained"), F.col("reason")).otherwise("classified task has no route")
     seen = policy.metrics.get(GLOBAL, {}).get(policy.fallback)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from matrixloom.functions.sizes import small
+
 
 def last_write(trials: DataFrame, order: str | None = None) -> DataFrame:
     """The last row of each task and model; failed and unnamed rows don't count. The order is that
@@ -19,7 +21,7 @@ def last_write(trials: DataFrame, order: str | None = None) -> DataFrame:
 
 def outstanding(tasks: DataFrame, models: DataFrame, done: DataFrame) -> DataFrame:
     """(task_id, model) pairs still to be measured."""
-    return tasks.select("task_id").crossJoin(F.broadcast(models.select("model"))).join(done.select("task_id", "model"), ["task_id", "model"], "left_anti")
+    return tasks.select("task_id").crossJoin(small(models.select("model"))).join(done.select("task_id", "model"), ["task_id", "model"], "left_anti")
 
 
 def cold_load(trials: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def to_matrix(trials: DataFrame, suite: DataFrame, models: list[str], trace: str
     whole = t.groupBy("task_id").agg(F.count_distinct("model").alias("k")).where(F.col("k") == len(models)).select("task_id")
     usable = suite.join(whole, "task_id", "left_semi").withColumn("trace_id", F.expr(trace))
     usable = usable.withColumn("sequence_index", F.row_number().over(Window.partitionBy("trace_id").orderBy("pos")).cast("long") - 1)
-    loads = F.broadcast(cold_load(trials.where(F.col("model").isin(models))))  # one row a model
+    loads = small(cold_load(trials.where(F.col("model").isin(models))))  # one row a model
     rows = usable.join(t, "task_id").join(loads, "model")
     meta = F.to_json(F.struct("grader"))
     return rows.select(F.col("task_id").alias("prompt_id"), "prompt", "task", "trace_id", "sequence_index", "model", "quality", F.round("generation_ms", 3).alias("latency_ms"), F.lit(0.0).alias("cost_usd"), F.round("cold_load_ms", 3).alias("load_ms"), meta.alias("metadata"))
