@@ -3,6 +3,10 @@ the audit, each with its statement."""
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from matrixloom.functions import text
@@ -11,6 +15,7 @@ from matrixloom.plans import queries as q
 from matrixloom.plans.audit import audit, compile_policy
 from matrixloom.plans.queries import GLOBAL, OBS, query
 from matrixloom.sources import demo, jsonl, sinks
+from matrixloom.streaming import router
 
 _ROW = ["prompt_id", "task", "trace_id", "sequence_index", "model", "quality", "latency_ms", "cost_usd", "load_ms"]
 
@@ -240,3 +245,71 @@ def audit_strategies(spark, sf_dir):
     cols = [*q._CMP[:3], "latency_ms", "latency_p50_ms", "latency_p95_ms", "coverage", "routing_regret"]
     rows = [(b["name"], *(round(b[c], 9) for c in cols), b["switch_count"], b["deployable"], b["bootstrap_unit_count"]) for b in doc["baselines"]]
     return spark.createDataFrame(rows, "baseline string, " + ", ".join(f"{c} double" for c in cols) + ", switch_count bigint, deployable boolean, bootstrap_unit_count bigint")
+
+
+# --- files and streams --------------------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    """A new folder where the cluster keeps what its executors share, deleted with the driver."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="matrix-")
+    path = f"{root.rstrip('/')}/q-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+        except Exception:  # noqa: BLE001, the JVM may be gone
+            pass
+
+    atexit.register(delete)
+    return path
+
+
+@query(OBS + f" SELECT {', '.join(_ROW)} FROM obs")
+def observations_file(spark, sf_dir):
+    """The matrix written in canonical order and read by the strict reader with all its checks."""
+    path = sinks.dump_jsonl(q.observations(spark, sf_dir), _folder(spark))
+    return jsonl.load_jsonl(spark, path + "/*.txt", require_signal=True, max_rows=10**9).select(*_ROW)
+
+
+@query("""WITH a AS (SELECT CAST(c_custkey AS VARCHAR) AS task_id, 'm' || (c_nationkey % 3) AS model, c_custkey, c_acctbal FROM customer)
+SELECT task_id, model, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 7 <> 0 THEN c_acctbal + 1 ELSE c_acctbal END AS quality FROM a""")
+def trials_of_two_appends(spark, sf_dir):
+    """A sidecar of two appends: the later row of a task and model counts, unless it failed."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key = F.col("c_custkey")
+    rows = c.select(key.cast("string").alias("task_id"), F.concat(F.lit("m"), (F.col("c_nationkey") % 3).cast("string")).alias("model"), F.col("c_acctbal").alias("quality"), key)
+    path = _folder(spark)
+    sinks.append_trials(rows.select("task_id", "model", "quality"), path)
+    later = rows.where(key % 3 == 0).select("task_id", "model", (F.col("quality") + 1).alias("quality"), F.when(key % 7 == 0, "failed").alias("error"))
+    sinks.append_trials(later, path)
+    return trials.last_write(jsonl.load_trials(spark, path)).select("task_id", "model", "quality")
+
+
+def _stream(spark, sf_dir: str, table: str):
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+
+
+def _streamed(df, name: str):
+    """The table that a stream in complete mode ends with."""
+    done = df.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS trace_id, count(*) AS n, min(turn) AS first, max(turn) AS last, max(turn) - min(turn) + 1 = count(*) AS contiguous FROM conversations GROUP BY conv_id")
+def stream_trace_gaps(spark, sf_dir):
+    s = _stream(spark, sf_dir, "conversations")
+    return _streamed(router.trace_gaps(s.select(F.col("conv_id").cast("string").alias("trace_id"), F.col("turn").alias("sequence_index"))), f"gaps_{uuid.uuid4().hex}")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type AS model, round(avg(event_id % 101 / CAST(100 AS DOUBLE)), 9) AS quality, round(avg(CAST(event_id % 7 AS DOUBLE)), 9) AS latency_ms, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(spark, sf_dir):
+    s = _stream(spark, sf_dir, "events")
+    rows = s.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), (F.col("event_id") % 101 / F.lit(100.0)).alias("quality"), (F.col("event_id") % 7).cast("double").alias("latency_ms"))
+    out = _streamed(router.windowed_quality(rows), f"windows_{uuid.uuid4().hex}")
+    return q._rounded(out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "model", "quality", "latency_ms", "n"), "quality", "latency_ms")
