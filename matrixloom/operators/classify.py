@@ -8,12 +8,13 @@ from math import log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matrixloom.functions.hashing import BUCKETS, feature_bucket
+from matrixloom.functions.hashing import BUCKETS, bucket_of, feature_bucket
 from matrixloom.functions.sizes import small_rows
 from matrixloom.functions.text import tokens, tokens_exactly
 from matrixloom.schema import PolicyError
 
 UNKNOWN = "unknown"
+TYPE, LEGACY = "hashed-feature-evidence-v1", "token-evidence-v1"
 
 
 @dataclass(frozen=True)
@@ -44,18 +45,39 @@ class TaskClassifier:
 
     def to_dict(self) -> dict:
         return {
-            "known_tasks": list(self.tasks), "task_examples": dict(sorted(self.examples.items())), "min_examples": self.min_examples, "min_evidence_score": self.min_score, "min_margin": self.min_margin, "feature_bucket_count": self.buckets, "exact_tokens": self.exact,
+            "type": TYPE, "known_tasks": list(self.tasks), "task_examples": dict(sorted(self.examples.items())), "min_examples": self.min_examples, "min_evidence_score": self.min_score, "min_margin": self.min_margin, "feature_bucket_count": self.buckets, "exact_tokens": self.exact,
             "feature_counts": {t: {f"bucket:{b}": n for b, n in sorted(self.counts[t].items())} for t in self.tasks},
         }
 
     @classmethod
     def from_dict(cls, d: dict) -> TaskClassifier:
+        """A classifier with counts by bucket, or an older one with counts by word and other names of
+        type and threshold, whose words are hashed as it is read."""
         try:
-            counts = {t: {int(k.removeprefix("bucket:")): int(n) for k, n in c.items()} for t, c in d["feature_counts"].items()}
-            examples = {t: int(n) for t, n in d["task_examples"].items()}
-            return cls(examples, counts, int(d["min_examples"]), float(d["min_evidence_score"]), float(d["min_margin"]), bool(d.get("exact_tokens", True)), int(d["feature_bucket_count"]))
+            by_word = d.get("type", LEGACY if "token_counts" in d else TYPE) == LEGACY
+            if not by_word and d.get("type", TYPE) != TYPE:
+                raise PolicyError(f"classifiers of type {d['type']!r} can't be read")
+            buckets = _whole(d.get("feature_bucket_count", BUCKETS), 2)
+            counts: dict[str, dict[int, int]] = {}
+            for task in d["known_tasks"]:
+                held = counts.setdefault(task, {})
+                for k, n in d["token_counts" if by_word else "feature_counts"][task].items():
+                    b = bucket_of(k, buckets) if by_word else int(k.removeprefix("bucket:"))
+                    held[b] = held.get(b, 0) + _whole(n, 1)
+            examples = {t: _whole(d["task_examples"][t], 1) for t in d["known_tasks"]}
+            least = d.get("min_confidence" if by_word else "min_evidence_score", 0.55)
+            for x in (least, d.get("min_margin", 0.10)):
+                if isinstance(x, bool) or not isinstance(x, int | float):
+                    raise PolicyError("thresholds must be numbers")
+            return cls(examples, counts, _whole(d.get("min_examples", 2), 1), float(least), float(d.get("min_margin", 0.10)), bool(d.get("exact_tokens", True)), buckets)
         except (KeyError, TypeError, ValueError, AttributeError) as e:
-            raise PolicyError(f"not a classifier: {e}") from None
+            raise e if isinstance(e, PolicyError) else PolicyError(f"not a classifier: {e}") from None
+
+
+def _whole(n: object, least: int) -> int:
+    if isinstance(n, bool) or not isinstance(n, int) or n < least:
+        raise PolicyError(f"{n!r} must be a whole number of at least {least}")
+    return n
 
 
 def prompt_buckets(prompts: DataFrame, exact: bool = True, buckets: int = BUCKETS) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from matrixloom.functions import stats
+from matrixloom.functions import hashing, stats
 from matrixloom.operators import classify as cl
 from matrixloom.operators import metrics, route
 from matrixloom.operators.route import GLOBAL, Metrics, Policy, Rule, decide
@@ -231,6 +231,22 @@ def test_classifier_keeps_no_words(spark):
     assert c.restricted({"sum"}).tasks == ("sum",)
 
 
+def test_older_classifiers_are_read(spark):
+    words = {"sum": {"add": 3, "numbers": 2}, "poem": {"verse": 2, "short": 1}}
+    old = {"known_tasks": ["sum", "poem"], "task_examples": {"sum": 3, "poem": 2, "rare": 1}, "token_counts": words, "min_examples": 2, "min_confidence": 0.6, "min_margin": 0.2}
+    new = [cl.TaskClassifier.from_dict(d) for d in (old, old | {"type": "token-evidence-v1"})]
+    assert new[0] == new[1] and new[0].min_score == 0.6 and new[0].examples == {"sum": 3, "poem": 2}
+    token = spark.createDataFrame([(w,) for c in words.values() for w in c], "w string")
+    column = {r.w: r.b for r in token.select("w", hashing.feature_bucket(F.col("w")).alias("b")).collect()}
+    assert new[0].counts == {t: {column[w]: n for w, n in c.items()} for t, c in words.items()}
+    assert cl.TaskClassifier.from_dict(new[0].to_dict()) == new[0]
+    good = new[0].to_dict()
+    bad = [old | {"type": "other"}, old | {"min_margin": True}, old | {"min_confidence": float("nan")}, old | {"min_examples": 0}, old | {"feature_bucket_count": 1}, old | {"known_tasks": ["none"]}, old | {"token_counts": {"sum": {"add": 1.5}, "poem": {}}}, good | {"feature_counts": {"sum": {"x": 1}, "poem": {}}}, good | {"feature_counts": []}, {}]
+    for d in bad:
+        with pytest.raises(PolicyError):
+            cl.TaskClassifier.from_dict(d)
+
+
 # --- selections -----------------------------------------------------------------------------------
 
 
