@@ -95,17 +95,37 @@ def _table(head: list[str], rows: list[list[object]]) -> str:
     return "<table>" + cells("th", head) + "".join(cells("td", r) for r in rows) + "</table>"
 
 
-def page(summary: Mapping) -> str:
-    """A static page without scripts; everything from the data is escaped."""
+def _blocks(summary: Mapping) -> list[tuple[str, object]]:
+    """What a reader wants to know first."""
+    split = summary.get("split") or {}
+    sizes = split.get("prompt_counts") or {}
+    pool = summary.get("recommended_pool") or (summary.get("policy") or {}).get("pool") or []
     held = summary.get("held_out_constraint") or {}
-    facts = [["Objective", summary.get("objective")], ["Budget", summary.get("max_quality_loss")], ["Strongest model", summary.get("strongest_model")], ["Pool", ", ".join(map(str, summary.get("recommended_pool") or []))], ["Held-out loss", held.get("observed_quality_loss")], ["Upper bound", held.get("quality_loss_ci_upper")], ["Within budget", held.get("satisfied")]]
-    cols = ["name", "deployable", "quality", "quality_loss", "cost_usd", "latency_ms", "latency_p95_ms", "coverage", "routing_regret", "switch_count"]
+    models = summary.get("models")
+    return [
+        ("Objective", summary.get("objective")), ("Loss allowed", summary.get("max_quality_loss")), ("Prompts by part", ", ".join(f"{k} {v}" for k, v in sizes.items()) or None), ("Models compared", len(models) if isinstance(models, list) else None), ("Pool", ", ".join(map(str, pool)) or None),
+        ("Fallback", summary.get("strongest_model") or (summary.get("policy") or {}).get("fallback_model")), ("Loss on held-out prompts", held.get("observed_quality_loss")), ("Its upper bound", held.get("quality_loss_ci_upper")), ("Within the budget", held.get("satisfied")),
+    ]
+
+
+_STYLE = "body{font:16px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #999;padding:2px 8px;text-align:left}dl{display:grid;grid-template-columns:repeat(auto-fill,minmax(12em,1fr));gap:1em}dl div{border:1px solid #999;padding:.5em}dd{margin:0;font-weight:bold;overflow-wrap:anywhere}pre{overflow:auto}"
+
+
+def page(summary: Mapping, title: str = "Routing audit") -> str:
+    """A static page without scripts; everything from the data is escaped."""
+    cols = {"name": "strategy", "deployable": "deployable", "quality": "quality", "quality_loss": "loss", "cost_usd": "cost (USD)", "latency_ms": "mean latency (ms)", "latency_p95_ms": "95th percentile (ms)", "coverage": "coverage", "routing_regret": "regret", "switch_count": "switches"}
     bases = [[b.get(c) for c in cols] for b in summary.get("baselines") or [] if isinstance(b, Mapping)]
     routes = ((summary.get("policy") or {}).get("routes") or {}).items()
     rules = [[t, r.get("model"), r.get("expected_quality"), r.get("quality_loss"), r.get("reason")] for t, r in routes if isinstance(r, Mapping)]
-    notes = "".join(f"<p><b>{_show(x)}</b></p>" for x in (summary.get("report_metadata") or {}).get("data_labels", [])) + "".join(f"<p>{_show(x)}</p>" for x in summary.get("notes") or [])
-    body = "<h1>Routing audit</h1>" + notes + _table(["fact", "value"], facts) + "<h2>Strategies</h2>" + _table(cols, bases) + "<h2>Routes</h2>" + _table(["task", "model", "quality", "loss", "reason"], rules)
-    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Routing audit</title><style>table{{border-collapse:collapse}}td,th{{border:1px solid;padding:2px 6px}}</style></head><body>{body}</body></html>\n'
+    about = summary.get("report_metadata") or {}
+    notes = "".join(f"<p><b>{_show(x)}</b></p>" for x in about.get("data_labels", []))
+    if about.get("raw_prompts_included"):
+        notes += "<p><b>Prompts, their ids and responses are part of this page, as was asked for.</b></p>"
+    notes += "".join(f"<p>{_show(x)}</p>" for x in summary.get("notes") or [])
+    blocks = "<dl>" + "".join(f"<div><dt>{_show(k)}</dt><dd>{_show(v)}</dd></div>" for k, v in _blocks(summary)) + "</dl>"
+    raw = html.escape(json.dumps(summary, indent=2, sort_keys=True, ensure_ascii=False, default=str))
+    body = f"<h1>{_show(title)}</h1>{notes}<h2>At a glance</h2>{blocks}<h2>Strategies</h2>{_table(list(cols.values()), bases)}<h2>Routes</h2>{_table(['task', 'model', 'quality', 'loss', 'reason'], rules)}<details><summary>All that is published, as JSON</summary><pre>{raw}</pre></details>"
+    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{_show(title)}</title><style>{_STYLE}</style></head><body>{body}</body></html>\n'
 
 
 def console(audit: Mapping, output: object = "") -> str:

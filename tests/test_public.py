@@ -31,6 +31,18 @@ def test_nothing_private_is_published(tmp_path):
     assert "<script>" not in text and "&lt;script&gt;" in text and "&lt;b&gt;" in text
 
 
+def test_page_escapes_everything_and_has_its_blocks():
+    doc = report.summary({"objective": "<cost & more>", "models": ["a", "b"], "synthetic": True, "split": {"prompt_counts": {"train": 6, "test": 2}}, "baselines": [{"name": "<compiled>", "latency_ms": 12.5}], "policy": {"fallback_model": "<m>", "pool": ["<m>"], "routes": {"<t>": {"model": "m", "reason": "<img src=x onerror=\"y\">"}}}, "display": "<script>bad()</script>"})
+    page = report.page(doc, "<A & B>")
+    assert page.startswith("<!doctype html>") and "<script" not in page and "<img" not in page
+    for shown in ("&lt;A &amp; B&gt;", "&lt;cost &amp; more&gt;", "&lt;compiled&gt;", "&lt;t&gt;", "&lt;script&gt;bad()", "train 6, test 2", "Models compared</dt><dd>2<", "12.5", "SYNTHETIC"):
+        assert shown in page, shown
+    assert "as was asked for" not in page and "as was asked for" in report.page(report.summary({"prompt": "x"}, True))
+    source = {"a": {"prompt": "x"}}
+    report.summary(source)
+    assert source == {"a": {"prompt": "x"}}
+
+
 def test_numbers_on_the_page():
     page = report.page({"max_quality_loss": 0.02, "held_out_constraint": {"observed_quality_loss": math.nan, "satisfied": True}})
     assert "0.02" in page and "n/a" in page and "yes" in page
