@@ -1,4 +1,4 @@
-"""Validation, splits, decisions, audit and exports on the synthetic matrix."""
+"""Validation of lines and tables, round trips, repairs and single decisions on the synthetic matrix."""
 
 import json
 
