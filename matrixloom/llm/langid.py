@@ -21,7 +21,7 @@ texts takes quartile and spread of all if they are greater, one with none the wi
 where no language has two labelled texts there is no limit.
 
 Cases: null and empty texts have no language and are rejected. A null id is carried. Rows without
-a label or an id are no training rows, but are scored; repeated rows get equal results. With no labelled
+a label or an id, and texts longer than TRAIN_BYTES, are no training rows, but are scored; repeated rows get equal results. With no labelled
 row at all every text is rejected. Ties go to the first language by name. Texts are scored whole,
 however long. An empty table gives an empty result.
 Other columns are ignored by identify and carried through by keep_identified.
@@ -45,6 +45,8 @@ ORDER = 4
 #: are fewer: the bound on the sample that the trees are fitted on; scoring has none.
 TRAIN_DOCS = 300
 HELD_OUT = 100
+#: No longer text is learned from, so that the sample is bounded in bytes too; any is scored.
+TRAIN_BYTES = 1 << 17
 #: A context is kept if it was seen so often in any language.
 LEAST_SEEN = 8
 DEVIATIONS = 6.0
@@ -220,6 +222,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, held_out: int = HELD_OU
     fewer, the same share is held out. Rows that repeat id and text are one, and equal texts count
     once, lest a copy is held out."""
     d = project(docs, "doc_id", "lang", "text").where("lang is not null and doc_id is not null and text <> ''")
+    d = d.where(F.octet_length("text") <= TRAIN_BYTES)
     some = d.select("lang", "doc_id", F.xxhash64("text").alias("h"), hash52(F.lit(SEED), F.col("doc_id")).alias("draw"))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", "h")
     picked = some.withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= train_docs + held_out).select("lang", "doc_id", "h", "nth").distinct().collect()
