@@ -253,8 +253,9 @@ def audit_strategies(spark, sf_dir):
 def _folder(spark) -> str:
     """A new folder where the cluster keeps what its executors share, deleted with the driver."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="matrix-")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="matrix-")
     path = f"{root.rstrip('/')}/q-{uuid.uuid4().hex}"
 
     def delete() -> None:
