@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from matrixloom.functions.hashing import digest_of_ids, stable_split, unit_hash
-from matrixloom.operators.validate import heads
+from matrixloom.functions.hashing import framed, ordered_runs, stable_split, unit_hash
 from matrixloom.schema import NAMESPACE
 
 PARTS = ("train", "dev", "test")
@@ -72,17 +72,17 @@ def split_observations(obs: DataFrame, seed: int = 42, trace_complete: bool = Fa
 
 
 def assignment_digests(split: Split, namespace: str = NAMESPACE) -> DataFrame:
-    """(unit, part, n, digest) of the prompts of each part, and of its traces."""
-    out = None
+    """(unit, part, n, digest) of the prompts of each part, and of its traces. The ids pass the driver
+    in order, a partition at a time."""
+    out = []
     kinds = [("prompt", "prompt_id")] + ([("trace", "trace_id")] if split.unit == "trace" else [])
-    h = heads(split.obs).join(split.obs.select("prompt_id", "part").distinct(), "prompt_id")
     for unit, key in kinds:
-        by = h.groupBy("part").agg(F.array_sort(F.collect_set(key)).alias("ids"))
-        digest = None
-        for p in PARTS:
-            name = {"dev": "development"}.get(p, p)
-            one = digest_of_ids(F.col("ids"), f"{namespace}:split:v2:{unit}:{split.seed}:{name}")
-            digest = F.when(F.col("part") == p, one) if digest is None else digest.when(F.col("part") == p, one)
-        one = by.select(F.lit(unit).alias("unit"), "part", F.size("ids").alias("n"), digest.alias("digest"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        ids = split.obs.select("part", F.col(key).alias("ident")).where("ident is not null").distinct()
+        digests: dict = {}
+        for r in ordered_runs(ids.select("part", "ident", framed(F.col("ident")).alias("piece"))):
+            name = {"dev": "development"}.get(r.part, r.part)
+            n, h = digests.get(r.part) or (0, sha256(f"{namespace}:split:v2:{unit}:{split.seed}:{name}\0".encode()))
+            h.update(r.run)
+            digests[r.part] = (n + r.n, h)
+        out += [(unit, p, n, "sha256:" + h.hexdigest()) for p, (n, h) in digests.items()]
+    return split.obs.sparkSession.createDataFrame(out, "unit string, part string, n int, digest string")
