@@ -96,6 +96,5 @@ def intervals(chosen: DataFrame, traced: bool, seed: int, index: dict[str, int],
     """(baseline, measure, low, high, confidence): Mersenne bootstrap, by whole traces if traced.
     Each baseline and measure has its own seed, so one grouped pass serves all."""
     at = F.create_map(*[x for k, v in index.items() for x in (F.lit(k), F.lit(v))])[F.col("baseline")]
-    long = chosen.select("baseline", "prompt_id", "trace_id", "sequence_index", at.alias("at"), F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.lit(d).alias("draw"), F.col(n).alias("value")) for n, d in DRAWS])).alias("m")).select("baseline", "prompt_id", "trace_id", "sequence_index", "at", "m.*")
     order = ["trace_id", "sequence_index"] if traced else ["prompt_id"]
-    return bootstrap_mersenne(long, ["baseline", "measure"], order, "value", F.lit(seed) + F.col("at") * 10 + F.col("draw"), "trace_id" if traced else None, resamples)
+    return bootstrap_mersenne(chosen, ["baseline"], order, dict(DRAWS), F.lit(seed) + at * 10, "trace_id" if traced else None, resamples)

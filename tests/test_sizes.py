@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from matrixloom.functions import hashing
+from matrixloom.functions import hashing, stats
 from matrixloom.operators import fingerprint
 
 
@@ -18,6 +18,9 @@ def small_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def largest_row(df, column):
+    return df.select(F.max(F.length(column))).first()[0]
+
 
 def test_digests_are_chained_over_partitions(spark, small_batches, monkeypatch):
     rows = [(p, f"i{i:04d}") for p in ("x", "y") for i in range(300)]
@@ -39,3 +42,21 @@ def test_fingerprint_of_awkward_prompts(spark, small_batches):
     prompts = [{"prompt_id": i, "prompt_identity_sha256": sha(p if p is not None else f"prompt_id:{i}"), "sequence_index": s, "task": t, "trace_id": u} for i, p, t, u, s in heads]
     text = json.dumps({"models": ["a", "b"], "prompts": prompts, "schema_version": "matrixloom.observation.v1"}, separators=(",", ":"), ensure_ascii=False)
     assert fingerprint.fingerprint(obs).first()[0] == "sha256:" + sha(text)
+
+
+@pytest.mark.parametrize("group", ["g", None])
+def test_mersenne_clusters_span_batches(spark, small_batches, group):
+    rng = random.Random(5)
+    rows = [(k, f"g{i % 23:02d}", i, rng.random(), rng.random()) for k in ("k", "l", None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, g string, i int, a double, b double").repartition(3)
+    packed = stats._clusters(df.withColumn("__seed", F.lit(1)), ["k"], ["g", "i"], ["a", "b"], group)
+    # a row has the clusters of a batch, not those of its key
+    assert largest_row(packed, "sums") <= 8 * 7
+    got = {(r.k, r.measure): (r.low, r.high) for r in stats.bootstrap_mersenne(df, ["k"], ["g", "i"], {"a": 0, "b": 3}, F.lit(42), group, 50).collect()}
+    for k in ("k", "l", None):
+        for at, name in ((3, "a"), (4, "b")):
+            mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))
+            names = sorted({r[1] for r in mine})
+            groups = [[r[at] for r in mine if r[1] == g] for g in names] if group else [[r[at]] for r in mine]
+            assert got[k, name] == stats.mersenne_interval(groups, 42 + 3 * (at - 3), 50)[:2]
+    assert len(got) == 6
