@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from matrixloom.operators.route import Policy
 from matrixloom.operators.validate import validate
+from matrixloom.schema import MAX_FILE_BYTES
 
 
 def jsonl_rows(obs: DataFrame) -> DataFrame:
@@ -26,10 +27,18 @@ def jsonl_rows(obs: DataFrame) -> DataFrame:
     return obs.select("prompt_id", "model", F.to_json(one).alias("value"))
 
 
-def dump_jsonl(obs: DataFrame, path: str, check: bool = True) -> str:
-    """A folder of JSON lines in canonical order; checked again first."""
+#: Bytes of a file that dump_jsonl writes, about; none is larger than what the reader takes.
+PART_BYTES = 16 << 20
+
+
+def dump_jsonl(obs: DataFrame, path: str, check: bool = True, part_bytes: int = PART_BYTES, max_bytes: int = MAX_FILE_BYTES) -> str:
+    """A folder of JSON lines in canonical order; checked again first. As many files as keep each
+    within the limit of the format, which the strict reader holds against every one of them."""
     rows = jsonl_rows(validate(obs) if check else obs)
-    rows.repartitionByRange("prompt_id", "model").sortWithinPartitions("prompt_id", "model").select("value").write.mode("overwrite").text(path)
+    octets = F.octet_length("value") + 1
+    total, longest = rows.agg(F.sum(octets), F.max(octets)).first()
+    parts, most = max(1, -(-(total or 0) // part_bytes)), max(1, max_bytes // (longest or 1))
+    rows.repartitionByRange(parts, "prompt_id", "model").sortWithinPartitions("prompt_id", "model").select("value").write.mode("overwrite").option("maxRecordsPerFile", most).text(path)
     return path
 
 

@@ -85,3 +85,13 @@ def test_hashed_draws_serve_all_keys_and_packs(spark, small_batches, monkeypatch
     monkeypatch.setattr(stats, "sha256", lambda b: calls.append(b) or hashlib.sha256(b))
     packs = [(k, 9, *stats._coded(rng_values), None) for k, rng_values in enumerate([stats.np.arange(9.0)] * 5)]
     assert len(draw(packs, "h:", [0, 1])) == 10 and len(calls) == 18
+
+
+def test_written_files_can_be_read(spark, tmp_path):
+    rows = [(f"p{i:03d}", "x" * (5 if i % 40 else 900), None, None, None, "m", 0.5, 1.0, 0.0, 0.0, None) for i in range(200)]
+    obs = spark.createDataFrame(rows, OBSERVATIONS).coalesce(1)
+    path = sinks.dump_jsonl(obs, str(tmp_path / "out"), part_bytes=4_000, max_bytes=9_000)
+    files = sorted((tmp_path / "out").glob("*.txt"))
+    assert len(files) > 4 and max(f.stat().st_size for f in files) <= 9_000
+    assert [json.loads(x)["prompt_id"] for f in files for x in f.read_text().splitlines()] == [r[0] for r in rows]
+    assert jsonl.load_jsonl(spark, path + "/*.txt", max_bytes=9_000).count() == 200
