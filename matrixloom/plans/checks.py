@@ -291,26 +291,31 @@ def trials_of_two_appends(spark, sf_dir):
 
 
 def _stream(spark, sf_dir: str, table: str):
+    """A table as a stream, whether it is one file or a folder of them."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    # as a pattern, since the source takes any other path for a folder
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}[.]parquet")
 
 
-def _streamed(df, name: str):
-    """The table that a stream in complete mode ends with."""
-    done = df.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+def _streamed(df):
+    """The table that a stream in complete mode ends with, kept in files and not by the driver."""
+    path = _folder(df.sparkSession)
+    df.sparkSession.createDataFrame([], df.schema).write.parquet(f"{path}/out")
+    put = lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}/out")
+    done = df.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").outputMode("complete").trigger(availableNow=True).start()
     done.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS trace_id, count(*) AS n, min(turn) AS first, max(turn) AS last, max(turn) - min(turn) + 1 = count(*) AS contiguous FROM conversations GROUP BY conv_id")
 def stream_trace_gaps(spark, sf_dir):
     s = _stream(spark, sf_dir, "conversations")
-    return _streamed(router.trace_gaps(s.select(F.col("conv_id").cast("string").alias("trace_id"), F.col("turn").alias("sequence_index"))), f"gaps_{uuid.uuid4().hex}")
+    return _streamed(router.trace_gaps(s.select(F.col("conv_id").cast("string").alias("trace_id"), F.col("turn").alias("sequence_index"))))
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type AS model, round(avg(event_id % 101 / CAST(100 AS DOUBLE)), 9) AS quality, round(avg(CAST(event_id % 7 AS DOUBLE)), 9) AS latency_ms, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, sf_dir):
     s = _stream(spark, sf_dir, "events")
     rows = s.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), (F.col("event_id") % 101 / F.lit(100.0)).alias("quality"), (F.col("event_id") % 7).cast("double").alias("latency_ms"))
-    out = _streamed(router.windowed_quality(rows), f"windows_{uuid.uuid4().hex}")
+    out = _streamed(router.windowed_quality(rows))
     return q._rounded(out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "model", "quality", "latency_ms", "n"), "quality", "latency_ms")

@@ -95,3 +95,13 @@ def test_written_files_can_be_read(spark, tmp_path):
     assert len(files) > 4 and max(f.stat().st_size for f in files) <= 9_000
     assert [json.loads(x)["prompt_id"] for f in files for x in f.read_text().splitlines()] == [r[0] for r in rows]
     assert jsonl.load_jsonl(spark, path + "/*.txt", max_bytes=9_000).count() == 200
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_streams_read_files_and_folders(spark, tmp_path, folder):
+    rows = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 2)], "conv_id bigint, turn bigint")
+    rows.repartition(3 if folder else 1).write.parquet(str(tmp_path / "conversations.parquet" if folder else tmp_path / "w"))
+    if not folder:
+        next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
+    got = {r.trace_id: (r.n, r.first, r["last"], r.contiguous) for r in matrix.QUERIES["stream_trace_gaps"](spark, str(tmp_path)).collect()}
+    assert got == {"1": (2, 0, 1, True), "2": (2, 0, 2, False)}
