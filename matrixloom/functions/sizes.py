@@ -20,3 +20,10 @@ def small(df: DataFrame, rows: int = ROWS, size: int = BYTES) -> DataFrame:
 def small_rows(df: DataFrame, rows: int, width: int = 1) -> DataFrame:
     """The same for a table that the driver made of so many rows of width numbers."""
     return F.broadcast(df) if rows <= ROWS and rows * width * 8 <= BYTES else df
+
+
+def shares(df: DataFrame, size: int = 1 << 20, least: int = 1 << 16) -> int:
+    """Into how many parts a table of files is split so that each has about size bytes of them; as many
+    as there are cores if that gives each of them least bytes."""
+    octets = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, -(-octets // size), min(df.sparkSession.sparkContext.defaultParallelism, octets // least))

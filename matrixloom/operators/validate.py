@@ -71,17 +71,39 @@ def missing_pairs(obs: DataFrame) -> DataFrame:
     return short.crossJoin(models).join(obs.select("prompt_id", "model").distinct(), ["prompt_id", "model"], "left_anti")
 
 
+def _by_prompt(obs: DataFrame, require_complete: bool) -> DataFrame:
+    """What duplicates(), inconsistent_prompts() and missing_pairs() find, as violations, by one shuffle:
+    rows of a prompt and model are counted first, so a prompt holds as many entries as it has models
+    and versions, whatever the number of rows."""
+    fields = [c for c in (*HEAD[1:], "metadata") if c in obs.columns]
+    # a digest stands for the fields; versions are told apart by 128 bits
+    version = F.md5(F.to_json(F.struct(*[F.struct(F.col(c).alias("v")).alias(c) for c in fields])).cast("binary"))
+    rows = obs.select("prompt_id", "model", version.alias("version")).repartition("prompt_id")  # serves both groupings
+    pairs = rows.groupBy("prompt_id", "model", "version").agg(F.count(F.lit(1)).alias("n"))
+    held = pairs.groupBy("prompt_id").agg(F.collect_list(F.struct("model", "n")).alias("held"), F.collect_set("version").alias("versions"))
+    same = lambda m: F.filter("held", lambda x: x["model"].eqNullSafe(m))
+    total = lambda m: F.aggregate(same(m), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    models = F.array_distinct(F.transform("held", lambda x: x["model"]))
+    none = F.lit(None).cast("string")
+    one = lambda code, model, detail: F.struct(F.lit(code).alias("code"), model.alias("model"), detail.alias("detail"))
+    twice = F.transform(F.filter(models, lambda m: total(m) > 1), lambda m: one("duplicate", m, total(m).cast("string")))
+    differ = F.when(F.size("versions") > 1, F.array(one("inconsistent", none, F.size("versions").cast("string")))).otherwise(F.expr("cast(array() as array<struct<code:string,model:string,detail:string>>)"))
+    found = [twice, differ]
+    if require_complete:
+        every = obs.select("model").distinct().agg(F.collect_set("model").alias("every"))
+        held = held.crossJoin(F.broadcast(every))
+        found.append(F.transform(F.array_except("every", models), lambda m: one("missing", m, F.lit("no result"))))
+    each = held.select("prompt_id", F.explode(F.concat(*found)).alias("x"))
+    return each.select("x.code", "prompt_id", "x.model", "x.detail")
+
+
 def violations(obs: DataFrame, require_signal: bool = False, require_complete: bool = True) -> DataFrame:
     """Every violation as (code, prompt_id, model, detail)."""
-    p = F.col("prompt_id")
     parts = [
         out_of_range(obs, require_signal),
-        _found(duplicates(obs), "duplicate", F.col("n").cast("string"), p, F.col("model")),
-        _found(inconsistent_prompts(obs), "inconsistent", F.col("n_versions").cast("string"), p),
+        _by_prompt(obs, require_complete),
         _found(shared_places(obs), "shared_place", F.format_string("%s[%d]", "trace_id", "sequence_index")),
     ]
-    if require_complete:
-        parts.append(_found(missing_pairs(obs), "missing", F.lit("no result"), p, F.col("model")))
     return reduce(DataFrame.unionByName, parts)
 
 

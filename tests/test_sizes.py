@@ -105,3 +105,14 @@ def test_streams_read_files_and_folders(spark, tmp_path, folder):
         next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
     got = {r.trace_id: (r.n, r.first, r["last"], r.contiguous) for r in matrix.QUERIES["stream_trace_gaps"](spark, str(tmp_path)).collect()}
     assert got == {"1": (2, 0, 1, True), "2": (2, 0, 2, False)}
+
+
+def test_violations_of_a_prompt_in_one_grouping(spark):
+    row = lambda p, m, task="t", meta=None: (p, None, task, None, None, m, 0.5, 1.0, 0.0, 0.0, meta)
+    rows = [row("a", "m"), row("a", "n"), *[row("b", "m")] * 3, row("b", "n", None), row("c", "m"), row("d", "m", meta="{}"), row("d", "n"), row("d", "n")]
+    obs = spark.createDataFrame(rows, OBSERVATIONS)
+    found = validate.violations(obs)
+    got = sorted((r.code, r.prompt_id, r.model or "", r.detail) for r in found.collect())
+    assert got == [("duplicate", "b", "m", "3"), ("duplicate", "d", "n", "2"), ("inconsistent", "b", "", "2"), ("inconsistent", "d", "", "2"), ("missing", "c", "n", "no result")]
+    single = {(r.prompt_id, r.model) for r in validate.duplicates(obs).collect()}
+    assert single == {r[1:3] for r in got if r[0] == "duplicate"}
