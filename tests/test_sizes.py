@@ -116,3 +116,14 @@ def test_violations_of_a_prompt_in_one_grouping(spark):
     assert got == [("duplicate", "b", "m", "3"), ("duplicate", "d", "n", "2"), ("inconsistent", "b", "", "2"), ("inconsistent", "d", "", "2"), ("missing", "c", "n", "no result")]
     single = {(r.prompt_id, r.model) for r in validate.duplicates(obs).collect()}
     assert single == {r[1:3] for r in got if r[0] == "duplicate"}
+
+
+def test_parts_grow_with_the_table(spark, tmp_path):
+    spark.range(300_000).select(F.col("id"), F.rand(1).alias("x")).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert sizes.shares(t, 1 << 18) >= 2 * sizes.shares(t, 1 << 20) >= 4
+    assert sizes.shares(t, 1 << 40, 1 << 40) == 1
+    part = spark.range(60_000).select(F.col("id").alias("p_partkey"), (F.col("id") % 50).cast("int").alias("p_size"), F.lit("Brand#1").alias("p_brand"))
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    # one small file is graded by all cores
+    assert matrix._answers(spark, str(tmp_path)).rdd.getNumPartitions() > 1
