@@ -21,8 +21,8 @@ def untrimmed(c: Column) -> Column:
     return (c == "") | F.rlike(c, F.lit(r"(?U)\A\s|\s\z"))
 
 
-def _row_checks(require_signal: bool = False) -> Column:
-    """Array of (code, detail) of what is wrong with a row by itself."""
+def _row_checks(require_signal: bool = False) -> tuple[Column, Column]:
+    """Whether something is wrong with a row by itself, and an array of (code, detail) of what is."""
     checks: list[tuple[Column, str, str]] = []
     for c in ("prompt_id", "model"):
         checks.append((F.col(c).isNull() | untrimmed(F.col(c)), "text", c))
@@ -35,14 +35,16 @@ def _row_checks(require_signal: bool = False) -> Column:
     checks.append((F.col("sequence_index") < 0, "range", "sequence_index"))
     if require_signal:
         checks.append((F.col("prompt").isNull() & F.col("task").isNull(), "no_signal", "neither prompt nor task"))
-    each = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(detail).alias("detail"))) for bad, code, detail in checks]
-    return F.filter(F.array(*each), lambda x: x.isNotNull())
+    wrong = [F.coalesce(bad, F.lit(False)) for bad, _, _ in checks]
+    each = [F.when(bad, F.struct(F.lit(code).alias("code"), F.lit(detail).alias("detail"))) for bad, (_, code, detail) in zip(wrong, checks, strict=True)]
+    return reduce(Column.__or__, wrong), F.filter(F.array(*each), lambda x: x.isNotNull())
 
 
 def out_of_range(obs: DataFrame, require_signal: bool = False) -> DataFrame:
     """Text that is blank or padded, and measures that are missing, not finite or out of bounds; with
     require_signal rows without prompt and task. One scan, whatever the number of checks."""
-    found = obs.select("prompt_id", "model", F.explode(_row_checks(require_signal)).alias("x"))
+    wrong, what = _row_checks(require_signal)
+    found = obs.where(wrong).select("prompt_id", "model", F.explode(what).alias("x"))
     return found.select("x.code", "prompt_id", "model", "x.detail")
 
 
@@ -59,7 +61,8 @@ def inconsistent_prompts(obs: DataFrame) -> DataFrame:
 
 def shared_places(obs: DataFrame) -> DataFrame:
     """(trace_id, sequence_index, n_prompts) of places that two prompts claim."""
-    return obs.where("trace_id is not null").groupBy("trace_id", "sequence_index").agg(F.count_distinct("prompt_id").alias("n_prompts")).where("n_prompts > 1")
+    places = obs.where("trace_id is not null").select("trace_id", "sequence_index", "prompt_id").distinct()
+    return places.groupBy("trace_id", "sequence_index").agg(F.count("prompt_id").alias("n_prompts")).where("n_prompts > 1")
 
 
 def missing_pairs(obs: DataFrame) -> DataFrame:
@@ -71,16 +74,22 @@ def missing_pairs(obs: DataFrame) -> DataFrame:
     return short.crossJoin(models).join(obs.select("prompt_id", "model").distinct(), ["prompt_id", "model"], "left_anti")
 
 
-def _by_prompt(obs: DataFrame, require_complete: bool) -> DataFrame:
-    """What duplicates(), inconsistent_prompts() and missing_pairs() find, as violations, by one shuffle:
-    rows of a prompt and model are counted first, so a prompt holds as many entries as it has models
-    and versions, whatever the number of rows."""
-    fields = [c for c in (*HEAD[1:], "metadata") if c in obs.columns]
-    # a digest stands for the fields; versions are told apart by 128 bits
-    version = F.md5(F.to_json(F.struct(*[F.struct(F.col(c).alias("v")).alias(c) for c in fields])).cast("binary"))
-    rows = obs.select("prompt_id", "model", version.alias("version")).repartition("prompt_id")  # serves both groupings
+def _version(obs: DataFrame) -> Column:
+    """Hashes that stand for a prompt's own fields, and for whether they are null; versions are told apart
+    by 128 bits."""
+    each = [x for c in (*HEAD[1:], "metadata") if c in obs.columns for x in (F.col(c), F.col(c).isNull())]
+    return F.struct(*[F.xxhash64(F.lit(s), *each).alias(f"h{s}") for s in (1, 2)])
+
+
+def _by_prompt(obs: DataFrame, require_complete: bool, by_prompt: bool = False) -> DataFrame:
+    """What duplicates(), inconsistent_prompts() and missing_pairs() find, as violations, by one shuffle,
+    or none if the rows lie by_prompt: rows of a prompt and model are counted first, so a prompt holds as
+    many entries as it has models and versions, whatever the number of rows."""
+    rows = obs.select("prompt_id", "model", _version(obs).alias("version"))
+    if not by_prompt:
+        rows = rows.repartition("prompt_id")  # serves both groupings
     pairs = rows.groupBy("prompt_id", "model", "version").agg(F.count(F.lit(1)).alias("n"))
-    held = pairs.groupBy("prompt_id").agg(F.collect_list(F.struct("model", "n")).alias("held"), F.collect_set("version").alias("versions"))
+    held = pairs.groupBy("prompt_id").agg(F.collect_list(F.struct("model", "n")).alias("held"), F.collect_set("version").alias("versions"), F.max("n").alias("most"), F.count("model").alias("named"))
     same = lambda m: F.filter("held", lambda x: x["model"].eqNullSafe(m))
     total = lambda m: F.aggregate(same(m), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     models = F.array_distinct(F.transform("held", lambda x: x["model"]))
@@ -89,29 +98,51 @@ def _by_prompt(obs: DataFrame, require_complete: bool) -> DataFrame:
     twice = F.transform(F.filter(models, lambda m: total(m) > 1), lambda m: one("duplicate", m, total(m).cast("string")))
     differ = F.when(F.size("versions") > 1, F.array(one("inconsistent", none, F.size("versions").cast("string")))).otherwise(F.expr("cast(array() as array<struct<code:string,model:string,detail:string>>)"))
     found = [twice, differ]
+    # what is wrong is worked out only for prompts that something is wrong with
+    suspect = (F.col("most") > 1) | (F.size("versions") > 1)
     if require_complete:
         every = obs.select("model").distinct().agg(F.collect_set("model").alias("every"))
         held = held.crossJoin(F.broadcast(every))
         found.append(F.transform(F.array_except("every", models), lambda m: one("missing", m, F.lit("no result"))))
-    each = held.select("prompt_id", F.explode(F.concat(*found)).alias("x"))
+        suspect = suspect | (F.col("named") != F.size("every"))
+    each = held.where(suspect).select("prompt_id", F.explode(F.concat(*found)).alias("x"))
     return each.select("x.code", "prompt_id", "x.model", "x.detail")
 
 
-def violations(obs: DataFrame, require_signal: bool = False, require_complete: bool = True) -> DataFrame:
+def violations(obs: DataFrame, require_signal: bool = False, require_complete: bool = True, by_prompt: bool = False) -> DataFrame:
     """Every violation as (code, prompt_id, model, detail)."""
     parts = [
         out_of_range(obs, require_signal),
-        _by_prompt(obs, require_complete),
+        _by_prompt(obs, require_complete, by_prompt),
         _found(shared_places(obs), "shared_place", F.format_string("%s[%d]", "trace_id", "sequence_index")),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def validate(obs: DataFrame, require_signal: bool = False, require_complete: bool = True) -> DataFrame:
-    """The table itself, or ValidationError with the first violations in canonical order."""
+def _clean(obs: DataFrame, require_signal: bool, require_complete: bool, by_prompt: bool) -> bool:
+    """Whether there are no violations, by counts of fixed width: one pass for what rows and prompts show,
+    and one for places."""
+    wrong, _ = _row_checks(require_signal)
+    rows = obs.select("prompt_id", "model", _version(obs).alias("version"), wrong.cast("int").alias("wrong"))
+    if not by_prompt:
+        rows = rows.repartition("prompt_id")
+    pairs = rows.groupBy("prompt_id", "model", "version").agg(F.count(F.lit(1)).alias("n"), F.max("wrong").alias("wrong"))
+    one = lambda f, h: f(F.col("version")[h])
+    each = pairs.groupBy("prompt_id").agg(F.max("n").alias("most"), F.max("wrong").alias("wrong"), F.count("model").alias("named"), *[one(f, h).alias(f"{n}_{h}") for n, f in (("lo", F.min), ("hi", F.max)) for h in ("h1", "h2")])
+    bad = (F.col("most") > 1) | (F.col("wrong") > 0) | (F.col("lo_h1") != F.col("hi_h1")) | (F.col("lo_h2") != F.col("hi_h2"))
+    if require_complete:
+        bad = bad | (F.col("named") != obs.select("model").where("model is not null").distinct().count())
+    return not each.where(bad).limit(1).count() and not shared_places(obs).limit(1).count()
+
+
+def validate(obs: DataFrame, require_signal: bool = False, require_complete: bool = True, by_prompt: bool = False) -> DataFrame:
+    """The table itself, or ValidationError with the first violations in canonical order. by_prompt: rows
+    of a prompt lie together, as kept() leaves them."""
     if not obs.limit(1).count():
         raise ValidationError("there are no observations")
-    found = violations(obs, require_signal, require_complete).orderBy("code", "prompt_id", "model", "detail").limit(5).collect()
+    if _clean(obs, require_signal, require_complete, by_prompt):
+        return obs
+    found = violations(obs, require_signal, require_complete, by_prompt).orderBy("code", "prompt_id", "model", "detail").limit(5).collect()
     if found:
         raise ValidationError("; ".join(f"{v.code}: {v.detail} (prompt {v.prompt_id}, model {v.model})" for v in found))
     return obs

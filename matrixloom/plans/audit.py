@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from matrixloom.functions.hashing import hash_choice
+from matrixloom.functions.sizes import kept
 from matrixloom.functions.stats import stable_mean
 from matrixloom.operators import classify as cl
 from matrixloom.operators.evaluate import chosen_rows, compare, equivalent, intervals, model_counts
@@ -59,23 +62,23 @@ def _loss(part: DataFrame, policy: Policy) -> float:
     return chosen_rows(asg, part, policy.fallback, False).agg(stable_mean(F.col("quality_loss"))).first()[0]
 
 
-def build_policy(split: Split, budget: float, objective: str, seed: int, min_examples: int, exact: bool = True) -> tuple[Policy, float, bool]:
-    """Policy, its development loss, and whether that is within the budget. What comes to the
-    driver has the size of tasks x models."""
+def build_policy(split: Split, budget: float, objective: str, seed: int, min_examples: int, exact: bool = True) -> tuple[Policy, float, bool, dict[str, str]]:
+    """Policy, its development loss, whether that is within the budget, and the extreme models. What
+    comes to the driver has the size of tasks x models."""
     dev = split.of("dev")
     if not dev.limit(1).count():
         raise OptimizationError("the development part is empty")
-    means = aggregate_metrics(dev).cache()
-    try:
-        fallback = extremes(means).first().strongest
-        pool = tuple(sorted({r.model for r in pareto_pool(means).collect()} | {fallback}))
-        by_task = means.where("scope = 'task'")
-        picked = {r.task: r.model for r in choose(by_task, ["task"], fallback, budget, objective, list(pool)).collect()}
-        metrics: dict[str, dict[str, Metrics]] = {}
-        for r in means.collect():
-            metrics.setdefault(r.task if r.scope == "task" else GLOBAL, {})[r.model] = Metrics(r.quality, r.latency_ms, r.cost_usd, r.load_ms, r.samples)
-    finally:
-        means.unpersist()
+    found = aggregate_metrics(dev)
+    rows = found.collect()
+    means = dev.sparkSession.createDataFrame(rows, found.schema)
+    extreme = extremes(means).first().asDict()
+    fallback = extreme["strongest"]
+    pool = tuple(sorted({r.model for r in pareto_pool(means).collect()} | {fallback}))
+    by_task = means.where("scope = 'task'")
+    picked = {r.task: r.model for r in choose(by_task, ["task"], fallback, budget, objective, list(pool)).collect()}
+    metrics: dict[str, dict[str, Metrics]] = {}
+    for r in rows:
+        metrics.setdefault(r.task if r.scope == "task" else GLOBAL, {})[r.model] = Metrics(r.quality, r.latency_ms, r.cost_usd, r.load_ms, r.samples)
     classifier = cl.fit(heads(split.of("train")), min_examples, exact=exact).restricted(set(metrics) - {GLOBAL})
     routes = {}
     for t in classifier.tasks:
@@ -88,17 +91,36 @@ def build_policy(split: Split, budget: float, objective: str, seed: int, min_exa
     if loss > budget + EPSILON:
         policy = policy.safe("classifier errors exceeded the development budget; safe fallback")
         loss = _loss(dev, policy)
-    return policy, loss, loss <= budget + EPSILON
+    return policy, loss, loss <= budget + EPSILON, extreme
+
+
+@contextmanager
+def _kept_split(obs: DataFrame, seed: int, traced: bool, *parts: str) -> Iterator[Split]:
+    """The split with its rows on disk, and parts that are read often by themselves."""
+    split = split_observations(obs, seed, traced)
+    rows = kept(split.obs)
+    split = replace(split, obs=rows)
+    held = {p: kept(split.of(p)) for p in parts}
+    try:
+        yield replace(split, held=held)
+    finally:
+        for df in (*held.values(), rows):
+            df.unpersist()
 
 
 def compile_policy(obs: DataFrame, max_quality_loss: float = 0.02, objective: str = "balanced", seed: int = 42, min_examples: int = 2, exact: bool = True) -> Policy:
     """A policy from the train and development parts; the test part is never read."""
     _options(max_quality_loss, objective)
-    obs = validate(obs, require_signal=True)
-    facts = trace_coverage(obs).first()
-    if facts.n_prompts < 3:
-        raise OptimizationError("a policy needs at least three prompts")
-    policy, _, ok = build_policy(split_observations(obs, seed, facts.trace_complete), max_quality_loss, objective, seed, min_examples, exact)
+    obs = kept(obs, "prompt_id")
+    try:
+        validate(obs, require_signal=True, by_prompt=True)
+        facts = trace_coverage(obs).first()
+        if facts.n_prompts < 3:
+            raise OptimizationError("a policy needs at least three prompts")
+        with _kept_split(obs, seed, facts.trace_complete, "dev") as split:
+            policy, _, ok, _ = build_policy(split, max_quality_loss, objective, seed, min_examples, exact)
+    finally:
+        obs.unpersist()
     if not ok:
         raise OptimizationError("the development budget can't be met")
     return policy
@@ -132,26 +154,36 @@ class Audit:
 
 
 def audit(obs: DataFrame, max_quality_loss: float = 0.02, objective: str = "balanced", seed: int = 42, min_examples: int = 2, exact: bool = True, resamples: int = 1000) -> Audit:
-    """Compile, then compare all strategies once on the held-out part."""
+    """Compile, then compare all strategies once on the held-out part. The matrix and its parts are worked
+    out once and kept on disk by prompt, as every step reads them again."""
     _options(max_quality_loss, objective)
-    obs = validate(obs, require_signal=True)
-    facts = trace_coverage(obs).first()
+    obs = kept(obs, "prompt_id")
+    try:
+        validate(obs, require_signal=True, by_prompt=True)
+        facts = trace_coverage(obs).first()
+        traced = facts.trace_complete
+        if facts.n_prompts < LEAST_PROMPTS:
+            raise OptimizationError(f"an audit needs {LEAST_PROMPTS} prompts; there are {facts.n_prompts}")
+        if traced and obs.select("trace_id").distinct().count() < LEAST_TRACES:
+            raise OptimizationError(f"an audit of traces needs {LEAST_TRACES} complete traces")
+        with _kept_split(obs, seed, traced, "dev", "test") as split:
+            return _audited(obs, split, facts, max_quality_loss, objective, seed, min_examples, exact, resamples)
+    finally:
+        obs.unpersist()
+
+
+def _audited(obs: DataFrame, split: Split, facts: Row, max_quality_loss: float, objective: str, seed: int, min_examples: int, exact: bool, resamples: int) -> Audit:
     traced = facts.trace_complete
-    if facts.n_prompts < LEAST_PROMPTS:
-        raise OptimizationError(f"an audit needs {LEAST_PROMPTS} prompts; there are {facts.n_prompts}")
-    if traced and obs.select("trace_id").distinct().count() < LEAST_TRACES:
-        raise OptimizationError(f"an audit of traces needs {LEAST_TRACES} complete traces")
-    split = split_observations(obs, seed, traced)
-    sizes = {r.part: r for r in split.obs.groupBy("part").agg(F.count_distinct("prompt_id").alias("prompts"), F.count_distinct("trace_id").alias("traces")).collect()}
+    by_prompt = split.obs.groupBy("prompt_id").agg(F.any_value("part").alias("part"), F.any_value("trace_id").alias("trace_id"))
+    sizes = {r.part: r for r in by_prompt.groupBy("part").agg(F.count(F.lit(1)).alias("prompts"), F.count_distinct("trace_id").alias("traces")).collect()}
     short = [f"{p} has {sizes[p].prompts if p in sizes else 0} of {n}" for p, n in LEAST_PARTS.items() if p not in sizes or sizes[p].prompts < n]
     if short or traced and sizes["test"].traces < LEAST_HELD_OUT_TRACES:
         raise OptimizationError("parts are too small: " + (", ".join(short) or "test has too few traces"))
-    policy, loss, within = build_policy(split, max_quality_loss, objective, seed, min_examples, exact)
-    extreme = extremes(aggregate_metrics(split.of("dev"))).first().asDict()
+    policy, loss, within, extreme = build_policy(split, max_quality_loss, objective, seed, min_examples, exact)
     test = split.of("test")
     models = sorted(r.model for r in obs.select("model").distinct().collect())
     asg = strategies(test, policy, extreme, models, max_quality_loss, objective, seed, traced)
-    chosen = chosen_rows(asg, test, policy.fallback, traced).cache()
+    chosen = kept(chosen_rows(asg, test, policy.fallback, traced))
     try:
         rows = {r.baseline: r.asDict() for r in compare(chosen).collect()}
         counts = {r.baseline: dict(r.model_counts) for r in model_counts(chosen).collect()}

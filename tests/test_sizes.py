@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from matrixloom.functions import hashing, sizes, stats
 from matrixloom.operators import fingerprint, validate
 from matrixloom.plans import queries as matrix
+from matrixloom.plans.audit import audit
 from matrixloom.schema import OBSERVATIONS
 from matrixloom.sources import jsonl, sinks
 
@@ -127,3 +128,42 @@ def test_parts_grow_with_the_table(spark, tmp_path):
     part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     # one small file is graded by all cores
     assert matrix._answers(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+
+
+def test_kept_rows_are_grouped_where_they_lie(spark):
+    df = spark.range(200).select((F.col("id") % 50).cast("string").alias("prompt_id"), F.concat(F.lit("v"), "id").alias("v"))
+    held = sizes.kept(df, "prompt_id")
+    try:
+        assert held.storageLevel.useDisk and not held.storageLevel.useMemory
+        by = held.groupBy("prompt_id").agg(F.any_value("v").alias("v"), F.count(F.lit(1)).alias("n"))
+        assert {r.n for r in by.collect()} == {4} and by.count() == 50
+        plan = by._jdf.queryExecution().executedPlan().toString()
+        outer = plan.split("InMemoryTableScan")[0]
+        assert "Exchange" not in outer and "Sort [" not in outer
+    finally:
+        held.unpersist()
+
+
+def test_clean_is_what_has_no_violations(spark):
+    row = lambda p, m, task="t", q=0.5, trace=None, at=None: (p, None, task, trace, at, m, q, 1.0, 0.0, 0.0, None)
+    good = [row(p, m) for p in "abc" for m in "mn"]
+    for extra, complete in ([], True), ([row("d", "m")], True), ([row("d", "m")], False), ([row("a", "m")], True), ([row("d", "m"), row("d", "n", None)], True), ([row("d", "m"), row("d", None)], True), ([row("d", "m"), row("d", "n", q=2.0)], False), ([row(p, m, trace="u", at=0) for p in "de" for m in "mn"], True):
+        obs = spark.createDataFrame(good + extra, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.createDataFrame([], OBSERVATIONS).schema))
+        for by_prompt in (False, True):
+            table = sizes.kept(obs, "prompt_id") if by_prompt else obs
+            assert validate._clean(table, False, complete, by_prompt) == (not validate.violations(obs, False, complete).count())
+            table.unpersist()
+
+
+def test_audits_work_the_matrix_out_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    rows = [(f"p{t:02d}-{i}", None, f"t{i % 2}", f"u{t:02d}", i, m, 0.5 + 0.1 * k, 10.0 * (k + 1), 0.1 * k, 5.0, None) for t in range(40) for i in range(3) for k, m in enumerate("ab")]
+    obs = spark.createDataFrame(rows, OBSERVATIONS).mapInArrow(noted, OBSERVATIONS)
+    audit(obs, 0.3, "cost", resamples=20)
+    assert reads.value == len(rows)
