@@ -41,10 +41,11 @@ def parsed(rows: DataFrame) -> DataFrame:
     """Adds v (the line as a variant, null unless it is one JSON object without repeated keys or
     non-numbers) and keys."""
     one = F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1
-    v = F.when(F.coalesce(one, F.lit(False)), F.try_parse_json("value"))
-    out = rows.withColumn("v", v)
-    is_object = F.schema_of_variant("v").startswith("OBJECT")
-    return out.withColumn("v", F.when(is_object, F.col("v"))).withColumn("keys", F.json_object_keys("value"))
+    parsed_once = F.when(F.coalesce(one, F.lit(False)), F.try_parse_json("value"))
+    # a line is parsed here and nowhere else: what is generated isn't worked out anew by each mention of it
+    out = rows.select("*", F.explode(F.array(parsed_once)).alias("v"))
+    v = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.col("v"))
+    return out.select(*rows.columns, F.explode(F.array(F.struct(v.alias("v"), F.json_object_keys("value").alias("keys")))).alias("__p")).select(*rows.columns, "__p.v", "__p.keys")
 
 
 def line_violations(rows: DataFrame) -> DataFrame:
@@ -73,9 +74,9 @@ def line_violations(rows: DataFrame) -> DataFrame:
     checks.append((known & has("sequence_index") & (_kind(v, "sequence_index") != "BIGINT"), "type", F.lit("sequence_index")))
     checks.append((known & has("metadata") & ~_kind(v, "metadata").startswith("OBJECT"), "type", F.lit("metadata")))
     # numbers too large for a double are infinite
-    checks.append((known & F.get_json_object("value", "$.metadata").rlike(r"[0-9][eE]\+?(30[89]|3[1-9][0-9]|[4-9][0-9][0-9]|[0-9]{4,})"), "not_finite", F.lit("metadata")))
-    found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), d.alias("detail"))) for c, code, d in checks]), lambda x: x.isNotNull())
-    return p.select("line_no", F.explode(found).alias("x")).select("line_no", "x.code", "x.detail")
+    checks.append((known & has("metadata") & F.get_json_object("value", "$.metadata").rlike(r"[0-9][eE]\+?(30[89]|3[1-9][0-9]|[4-9][0-9][0-9]|[0-9]{4,})"), "not_finite", F.lit("metadata")))
+    each = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), d.alias("detail"))) for c, code, d in checks])
+    return p.select("line_no", F.explode(each).alias("x")).where("x is not null").select("line_no", "x.code", "x.detail")
 
 
 def observations(rows: DataFrame) -> DataFrame:

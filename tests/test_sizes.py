@@ -173,3 +173,9 @@ def test_bootstrap_groups_are_spread(spark):
     df = spark.range(400).select((F.col("id") % 20).cast("string").alias("k"), F.col("id").cast("string").alias("g"), F.rand(1).alias("v"))
     out = stats.bootstrap_mersenne(df, ["k"], ["g"], "v", F.lit(42), "g", 20)
     assert out.rdd.glom().filter(len).count() > 4
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([(1, "{}")], "line_no int, value string")
+    plan = jsonl.line_violations(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
