@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matrixloom.functions.hashing import BUCKETS, bucket_of, feature_bucket
-from matrixloom.functions.sizes import small_rows
-from matrixloom.functions.text import tokens, tokens_exactly
+from matrixloom.functions.sizes import is_small, small_rows
+from matrixloom.functions.text import count_exactly, has_tokens, has_tokens_exactly, runs
 from matrixloom.schema import PolicyError
 
 UNKNOWN = "unknown"
@@ -82,17 +82,25 @@ def _whole(n: object, least: int) -> int:
 
 def prompt_buckets(prompts: DataFrame, exact: bool = True, buckets: int = BUCKETS) -> DataFrame:
     """(prompt_id, bucket, n): how often the tokens of a prompt fall into each bucket."""
-    words = tokens_exactly(F.col("prompt")) if exact else tokens(F.col("prompt"))
-    each = prompts.select("prompt_id", F.explode(words).alias("token"))
-    by_token = each.groupBy("prompt_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    return by_token.groupBy("prompt_id", feature_bucket(F.col("token"), buckets).alias("bucket")).agg(F.sum("n").alias("n"))
+    return _bucketed(prompts, exact, buckets).groupBy("prompt_id", "bucket").agg(F.sum("n").alias("n"))
+
+
+def _bucketed(prompts: DataFrame, exact: bool, buckets: int) -> DataFrame:
+    """(prompt_id, bucket, n) with a row for each token of a prompt, or several; to be added up."""
+    return _counted(prompts, "prompt_id", exact).select("prompt_id", feature_bucket(F.col("token"), buckets).alias("bucket"), "n")
+
+
+def _counted(rows: DataFrame, key: str, exact: bool) -> DataFrame:
+    """(key, token, n) of prompts, in rows to be added up."""
+    if exact:
+        return count_exactly(rows, key, "prompt")
+    each = rows.select(key, F.explode(runs(F.col("prompt"))).alias("run"))
+    return each.select(key, F.lower("run").alias("token"), F.lit(1).cast("bigint").alias("n"))
 
 
 def feature_counts(heads: DataFrame, exact: bool = True) -> DataFrame:
     """(task, bucket, n) over prompts with a task, each counted once."""
-    h = heads.where("task is not null")
-    words = tokens_exactly(F.col("prompt")) if exact else tokens(F.col("prompt"))
-    each = h.select("task", F.explode(words).alias("token")).groupBy("task", "token").agg(F.count(F.lit(1)).alias("n"))
+    each = _counted(heads.where("task is not null"), "task", exact).groupBy("task", "token").agg(F.sum("n").alias("n"))
     return each.groupBy("task", feature_bucket(F.col("token")).alias("bucket")).agg(F.sum("n").alias("n"))
 
 
@@ -116,7 +124,7 @@ def classify(prompts: DataFrame, model: TaskClassifier, explicit: bool = True, k
     spark = prompts.sparkSession
     keep = keep or []
     p = prompts.select("prompt_id", F.col("prompt"), (F.col("task") if explicit else F.lit(None).cast("string")).alias("given"), *keep)
-    words = tokens_exactly(F.col("prompt")) if model.exact else tokens(F.col("prompt"))
+    found = (has_tokens_exactly if model.exact else has_tokens)(F.col("prompt"))
     k = len(model.tasks)
     space = sorted({b for c in model.counts.values() for b in c})
     out = F.struct
@@ -131,8 +139,8 @@ def classify(prompts: DataFrame, model: TaskClassifier, explicit: bool = True, k
     if not k:
         ladder = ladder.otherwise(result(unknown, F.lit(0.0), True, F.lit("no supported tasks in training data")))
         return p.select("prompt_id", *keep, ladder.alias("r")).select("prompt_id", *keep, "r.*")
-    p = p.withColumn("n_tokens", F.coalesce(F.size(words), F.lit(0)))
-    ladder = ladder.when(F.col("n_tokens") == 0, result(unknown, F.lit(0.0), True, F.lit("prompt has no classifiable tokens")))
+    p = p.withColumn("has_tokens", found)
+    ladder = ladder.when(~F.col("has_tokens"), result(unknown, F.lit(0.0), True, F.lit("prompt has no classifiable tokens")))
     if not space:
         ladder = ladder.otherwise(result(unknown, F.lit(0.0), True, F.lit("classifier feature space is empty")))
         return p.select("prompt_id", *keep, ladder.alias("r")).select("prompt_id", *keep, "r.*")
@@ -141,8 +149,11 @@ def classify(prompts: DataFrame, model: TaskClassifier, explicit: bool = True, k
     priors = [log(model.examples[t] / sum(model.examples.values())) for t in model.tasks]
     table = spark.createDataFrame([(b, [log((model.counts[t].get(b, 0) + 1) / d) for t, d in zip(model.tasks, denominators, strict=True)]) for b in space], "bucket int, logs array<double>")
     unseen = F.array(*[F.lit(log(1 / d)) for d in denominators])
-    # at most BUCKETS rows, whatever the corpus, each as wide as there are tasks
-    hit = prompt_buckets(p.where("given is null").select("prompt_id", "prompt"), model.exact, model.buckets).join(small_rows(table, len(space), k), "bucket", "left")
+    # at most BUCKETS rows, whatever the corpus, each as wide as there are tasks: where that is small, tokens
+    # meet it where they are read, and a task's sums of a prompt are all that is shuffled
+    asked, logs_of = p.where("given is null").select("prompt_id", "prompt"), small_rows(table, len(space), k)
+    fits = is_small(len(space), k)
+    hit = (_bucketed(asked, model.exact, model.buckets) if fits else prompt_buckets(asked, model.exact, model.buckets)).join(logs_of, "bucket", "left")
     logs = F.coalesce("logs", unseen)
     sums = hit.groupBy("prompt_id").agg(F.count("logs").alias("overlap"), *[F.sum(F.col("n") * logs[i]).alias(f"s{i}") for i in range(k)])
     scores = F.array(*[F.struct((-(F.col(f"s{i}") + F.lit(priors[i]))).alias("minus"), F.lit(t).alias("task")) for i, t in enumerate(model.tasks)])

@@ -147,7 +147,7 @@ def grade_unusable(spark, sf_dir):
 def tokenize_casefold(spark, sf_dir):
     """Tokens by full case folding."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("lang", F.explode(text.tokens_exactly(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    return text.count_exactly(d, "lang", "text").groupBy("lang", "token").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 5 > 0 THEN round(CAST(l_suppkey * 1234567 AS DOUBLE) / 1e6, 6) END AS ms FROM lineitem")

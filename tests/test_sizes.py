@@ -7,8 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from matrixloom.functions import hashing, sizes, stats
-from matrixloom.operators import fingerprint, validate
+from matrixloom.functions import hashing, sizes, stats, text
+from matrixloom.operators import classify, fingerprint, validate
 from matrixloom.plans import queries as matrix
 from matrixloom.plans.audit import audit
 from matrixloom.schema import OBSERVATIONS
@@ -130,6 +130,31 @@ def test_parts_grow_with_the_table(spark, tmp_path):
     assert matrix._answers(spark, str(tmp_path)).rdd.getNumPartitions() > 1
 
 
+def test_exact_tokens_are_counted_in_bounded_rows(spark, small_batches, monkeypatch):
+    rows = [("a", f"Straße straSSE x_y W{i:03d} ǰ²") for i in range(60)] + [("b", None), (None, "ab AB"), ("c", "_ a !")]
+    df = spark.createDataFrame(rows, "k string, t string").coalesce(1)
+    whole = {(r.k, r.token): r.n for r in text.count_exactly(df, "k", "t").groupBy("k", "token").agg(F.sum("n").alias("n")).collect()}
+    want = {("a", "strasse"): 120, ("a", "ǰ²".casefold()): 60, (None, "ab"): 2} | {("a", f"w{i:03d}"): 1 for i in range(60)}
+    assert whole == want
+    batches = df.mapInArrow(lambda bs: (b for b in bs), df.schema)
+    # counts of many texts are one row each, not one for each occurrence
+    assert text.count_exactly(batches, "k", "t").count() == len(want)
+
+
+def test_tokens_of_a_prompt_are_not_shuffled(spark):
+    rows = [(f"p{i}", f"alpha{i % 3} beta gamma" if i % 2 else "delta epsilon zeta", "t" if i % 2 else "u") for i in range(40)] + [("none", None, None), ("short", "a b", None)]
+    df = spark.createDataFrame(rows, "prompt_id string, prompt string, task string")
+    for exact in (False, True):
+        model = classify.fit(df, exact=exact)
+        out = classify.classify(df, model, explicit=False)
+        got = {r.prompt_id: (r.task, r.abstained, r.reason) for r in out.collect()}
+        assert all(got[i][:2] == (t, False) for i, _, t in rows[:40])
+        assert got["none"][2] == got["short"][2] == "prompt has no classifiable tokens"
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # neither a token nor its bucket is a key of an exchange
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and ("token" in x or "bucket" in x)]
+
+
 def test_kept_rows_are_grouped_where_they_lie(spark):
     df = spark.range(200).select((F.col("id") % 50).cast("string").alias("prompt_id"), F.concat(F.lit("v"), "id").alias("v"))
     held = sizes.kept(df, "prompt_id")
